@@ -78,24 +78,22 @@ def cut(batch: pa.RecordBatch, texts: list[bytes], most: int = 1 << 23) -> Itera
         yield start, batch.num_rows
 
 
-def numbered(df: DataFrame, out: str, order: list[str], group: list[str] = (), rows: int | None = None) -> DataFrame:
-    """Gapless numbers from 0 inside each group, without a window over a whole group.
+def numbered(df: DataFrame, out: str, order: list[str], group: list[str] = (), rows: int | None = None, block: list[str] | None = None) -> DataFrame:
+    """Gapless numbers from 0 inside each group (of columns without nulls), without a window over a whole group.
 
-    Rows are dealt to hash blocks of about BLOCK_ROWS; a row's number is the rows of its group in earlier
-    blocks plus its place in its own block. ``df`` is read twice (and once more to count it), so it should be
-    a stored table. The numbers depend only on the rows and on ``order``.
+    Rows are dealt to hash blocks of about BLOCK_ROWS by ``block`` (default: ``order``); a row's number is the rows of
+    its group in earlier blocks plus its place in its own block, by ``order``. ``df`` is read twice (and once more to
+    count it), so it should be a stored table. The numbers depend only on the rows, ``order`` and ``block``.
     """
     group = list(group)
     n = df.count() if rows is None else rows
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
-    key = F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in order))
+    key = F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in block or order))
     df = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(*(F.col(c).alias(f"_g_{c}") for c in group), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")) if group else starts.select(
-        F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy(*group, "_block").orderBy(*order)
-    df = df.withColumn("_place", F.row_number().over(own) - 1)
-    on = [df["_block"] == starts["_b"], *(df[c].eqNullSafe(starts[f"_g_{c}"]) for c in group)]
-    joined = df.join(starts, on, "left")
-    return joined.withColumn(out, (F.col("_start") + F.col("_place")).cast("long")).drop("_block", "_place", "_start", "_b", *(f"_g_{c}" for c in group))
+    by = [*group, "_block"]
+    before = Window.partitionBy(*group) if group else Window.partitionBy()
+    before = before.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    df = df.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return df.join(starts, by).withColumn(out, (F.col("_start") + F.col("_place")).cast("long")).drop("_block", "_place", "_start")

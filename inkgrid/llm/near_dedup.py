@@ -125,8 +125,9 @@ def tiled(rows: DataFrame, keys: list[str], tie: Column, cap: int = BLOCK) -> Da
     return rows.withColumn("_pq", F.explode(pairs)).select("*", "_pq.p", "_pq.q").drop("_pq", "_t")
 
 
-def blocks(rows: DataFrame, keys: list[str], link: Callable[[dict, np.ndarray | None], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """Run ``link`` on each block of ``tiled`` rows; links (a, b)."""
+def blocks(rows: DataFrame, keys: list[str], link: Callable[[pa.Table, tuple], tuple[np.ndarray, ...]], counted: bool = False) -> DataFrame:
+    """Run ``link`` on each block of ``tiled`` rows; links (a, b), with ``counted`` also a column that marks counts."""
+    names = ["a", "b", "counted"][: 2 + counted]
     by = [*keys, "p", "q"]
     dealt = rows.repartition(*by).sortWithinPartitions(*by)
 
@@ -138,9 +139,9 @@ def blocks(rows: DataFrame, keys: list[str], link: Callable[[dict, np.ndarray |
             t = pa.Table.from_batches(held)
             held.clear()
             if t.num_rows > 1:
-                a, b = link(t, at)
-                if len(a):
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found = link(t, at)
+                if len(found[0]):
+                    yield pa.record_batch([pa.array(x) for x in found], names)
 
         for batch in batches(it):
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
@@ -157,7 +158,7 @@ def blocks(rows: DataFrame, keys: list[str], link: Callable[[dict, np.ndarray |
         if held:
             yield from close()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, ", ".join(f"{x} {'boolean' if x == 'counted' else 'long'}" for x in names))
 
 
 def _sides(t: pa.Table, at: tuple) -> tuple[np.ndarray, np.ndarray]:

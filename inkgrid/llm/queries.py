@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Store, prepare, table
 from .exact_dedup import exact_groups
+from .embed_dedup import embedding_groups
+from .lang_id import language_groups
+from .mixing import draws
 from .near_dedup import simhash_groups
+from .ordering import ordered
+from .packing import packed
+from .sharding import shard_documents
+from .substring_dedup import remove_repeats
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +25,46 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), Store(prepare(spark), "op8"), k=4, tau=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_simhash)}
+def _tokenizer() -> str:
+    """The vocabulary file the queries use; operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), Store(prepare(spark), "op3"), shards=16, law="rows")
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slot, shard, row, doc_id, piece, length, record_crc32 of every sequence, from the records that shards are written from."""
+    rows = ordered(table(spark, sf_dir, "documents"), Store(prepare(spark), "op4"), _tokenizer(), length=512, shard_rows=16_384)
+    return rows.withColumn("record_crc32", F.crc32("record")).drop("record")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), Store(prepare(spark), "op6"), _tokenizer(), capacity=2048)
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"), Store(prepare(spark), "op7"), cosine=0.98)
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), Store(prepare(spark), "op9"), width=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of 0.9 of the largest entropy, no source passed over more than four times, as many tokens as there are."""
+    return draws(table(spark, sf_dir, "documents"), Store(prepare(spark), "op10"), entropy_share=0.9, most_passes=4.0)
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -27,4 +74,24 @@ with t as (select doc_id, {_LOW} as low from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id = max(doc_id) over w as kept, sha256(low) as text_sha256
 from t window w as (partition by low)""",
+    "op7_embeddings": """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98),
+walk as (select a as id, b as other from links union select w.id, l.b from walk w join links l on l.a = w.other),
+least as (select id, least(id, min(other)) as component_id from walk group by id),
+n as (select a as id, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept
+from embeddings left join n on n.id = vec_id left join least on least.id = vec_id""",
+    "op9_substrings": """
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, list_slice(w, i, i + 49) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+first as (select md5(array_to_string(k, ' ')) as h, min(doc_id) as first from win group by 1),
+gone as (select doc_id, list(i) as starts from (select doc_id, i, md5(array_to_string(k, ' ')) as h from win) join first using (h) where first < doc_id group by doc_id),
+cover as (select doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50)))) as c from gone),
+kept as (select doc_id, len(w) as n_words, coalesce(len(c), 0) as n_removed,
+  case when c is null then w else list_filter(w, lambda x, i: not list_contains(c, i)) end as k from d left join cover using (doc_id))
+select doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
 }
