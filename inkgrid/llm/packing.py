@@ -220,7 +220,7 @@ def packed(docs: DataFrame, store: Store, path: str, capacity: int = CAPACITY, w
                 sequence[here] = start[k] + past // each[k]
                 offset[here] = at[k] + past % each[k] * x
             cols = [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)]
-            yield pa.record_batch(cols + [batch.column("ids")] * with_ids, [x.split()[0] for x in schema.split(", ")])
+            yield pa.record_batch(cols + ([batch.column("ids")] if with_ids else []), [x.split()[0] for x in schema.split(", ")])
 
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank", *["ids"] * with_ids).mapInArrow(run, schema)
 

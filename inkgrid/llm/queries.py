@@ -9,6 +9,7 @@ from .common import Store, prepare, table
 from .exact_dedup import exact_groups
 from .embed_dedup import embedding_groups
 from .lang_id import language_groups
+from .lm_score import scored
 from .mixing import draws
 from .near_dedup import simhash_groups
 from .ordering import ordered
@@ -17,6 +18,10 @@ from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), Store(prepare(spark), "op1"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -64,7 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws(table(spark, sf_dir, "documents"), Store(prepare(spark), "op10"), entropy_share=0.9, most_passes=4.0)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

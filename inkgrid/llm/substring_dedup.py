@@ -119,7 +119,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _crc(texts: list[bytes]) -> np.ndarray:
-    return np.array([zlib.crc32(x) for x in texts], np.uint32).view(np.int32)
+    return np.array([zlib.crc32(x) for x in texts], np.int64)
 
 
 def group_rows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -134,11 +134,11 @@ def group_rows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFra
                 cols = [pa.array(ids[lo:hi][row]), pa.array(crc[row]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), _signed(a), _signed(g)]
                 yield pa.record_batch(cols, ["id", "t", "s", "n", "a", "g"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, t int, s int, n int, a long, g long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, t long, s int, n int, a long, g long")
 
 
 def _text_crc():
-    return F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("int")
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
 
 
 class WindowIndex:
@@ -225,7 +225,7 @@ class WindowIndex:
                         cols = [pa.array(ids[lo:hi][row[y]]), pa.array(crc[lo:hi][row[y]]), pa.array(s[y].astype(np.int32)), pa.array(new[lo:hi][row[y]].astype(bool)), _signed(w[y]), pa.array(c[y])]
                         yield pa.record_batch(cols, ["id", "t", "s", "new", "w", "c"])
 
-        return docs.select("id", "t", "text", "spans", "new").mapInArrow(run, "id long, t int, s int, new boolean, w long, c int")
+        return docs.select("id", "t", "text", "spans", "new").mapInArrow(run, "id long, t long, s int, new boolean, w long, c int")
 
 
 def _cleaned(docs: DataFrame, repeats: DataFrame, width: int) -> DataFrame:
