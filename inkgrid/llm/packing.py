@@ -12,6 +12,7 @@ piece; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -28,21 +29,34 @@ CAPACITY = 2048
 END = b"\0\0\0\0"
 
 
+#: Letters with a tail of ASCII punctuation: two words to the tokenizer, whatever they are. (The apostrophe is not one of the tail.)
+_TAIL = re.compile(r"(\w+)([!-&(-/:-@\[-`{-~]+)")
+
+
 class _Ids(dict):
-    """Little-endian ids of what stands between two white spaces; forgotten when there are too many."""
+    """Little-endian ids of what stands between two white spaces. The least used half is forgotten when there are too many."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) > 400_000:
-            self.clear()
+        ids = self.old.get(chunk)
+        if ids is None:
+            text = chunk.decode("utf-8", "replace")
+            tail = _TAIL.fullmatch(text)
+            if tail and (tail[1] + tail[1].lower()).isalpha() and "<" not in tail[2]:
+                ids = self[tail[1].encode()] + self[tail[2].encode()]
+            else:
+                low = chunk.lower() if b"<" not in chunk else chunk  # the tokenizer does so too, but for its special tokens
+                ids = self[low] if low != chunk else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
+            if len(self) > self.most:
+                self.old = dict(self)
+                self.clear()
         return ids
 
 
