@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Store, batches, numbered
-from .packing import pieces
+from .packing import id_width, pieces
 
 ROUNDS = 6
 
@@ -57,21 +57,29 @@ def stride(length: int) -> int:
 
 def ordered(docs: DataFrame, store: Store, path: str, length: int = 512, shard_rows: int = 16_384, key: int = 20_240_607) -> DataFrame:
     """One row per sequence: slot, shard, row (in the shard), doc_id, piece, length, record (without the line feed), dealt and sorted by shard and slot."""
-    found = store.put(pieces(docs, path, length), "pieces")
+    width = id_width(path)
+    found = store.put(pieces(docs, path, length, width), "pieces")
     n = found.count()
-    indexed = numbered(found, "_index", ["doc_id", "piece"], rows=n)
+    # only keys are numbered; the ids are shuffled once to meet their slot and once to their shard, in their narrow form
+    index = numbered(found.select("row", "doc_id", "piece"), "_index", ["doc_id", "piece", "row"], rows=n).select("row", "_index")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             slot = permute(batch.column("_index").to_numpy(), n, key)
-            size = batch.column("length").to_numpy()
-            ids = batch.column("ids").to_pylist()
-            record = [int(k).to_bytes(4, "little") + x + bytes(4 * length - len(x)) for k, x in zip(size, ids)]
-            cols = [pa.array(slot), pa.array(slot // shard_rows), pa.array(slot % shard_rows), batch.column("doc_id"), batch.column("piece"), batch.column("length"), pa.array(record, pa.binary())]
-            yield pa.record_batch(cols, ["slot", "shard", "row", "doc_id", "piece", "length", "record"])
-
-    out = indexed.select("doc_id", "piece", "length", "ids", "_index").mapInArrow(run, "slot long, shard long, row long, doc_id long, piece int, length long, record binary")
-    return out.repartition("shard").sortWithinPartitions("shard", "slot")
+            cols = [batch.column("row"), pa.array(slot), pa.array(slot // shard_rows), pa.array(slot % shard_rows)]
+            yield pa.record_batch(cols, ["_row", "slot", "shard", "row"])
+
+    def record(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it):
+            wide = [x if width == 4 else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in batch.column("ids").to_pylist()]
+            out = [int(k).to_bytes(4, "little") + x + bytes(4 * length - len(x)) for k, x in zip(batch.column("length").to_numpy(), wide)]
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "record"])
+
+    names = ["slot", "shard", "row", "doc_id", "piece", "length"]
+    slots = index.mapInArrow(place, "_row long, slot long, shard long, row long")
+    met = found.withColumnRenamed("row", "_row").join(slots, "_row").select(*names, "ids")
+    dealt = met.repartition("shard").sortWithinPartitions("shard", "slot")
+    return dealt.mapInArrow(record, "slot long, shard long, row long, doc_id long, piece int, length long, record binary")
 
 
 def write_shards(rows: DataFrame, folder: str, length: int, shard_rows: int) -> None:

@@ -71,11 +71,21 @@ def word_tokens(path: str) -> Callable[[bytes], bytes]:
     return lambda text: b"".join([get(w) for w in text.split()])
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian 32-bit, the document's end token included)."""
+def id_width(path: str) -> int:
+    """Bytes that hold any id of the vocabulary: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
+
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, width: int = 4) -> DataFrame:
+    """row (different for each piece), doc_id, piece, start, length, ids (little-endian in ``width`` bytes, the document's end token included)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encode, stride = word_tokens(path), 4 * capacity
+        row = TaskContext.get().partitionId() << 36
         for batch in batches(it):
             owner, piece, start, length, ids = [], [], [], [], []
             for i, text in enumerate(as_bytes(batch.column("text"))):
@@ -86,14 +96,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     piece.append(k)
                     start.append(at // 4)
                     length.append(len(part) // 4)
-                    ids.append(part)
+                    ids.append(part if width == 4 else np.frombuffer(part, "<u4").astype("<u2").tobytes())
             keys = batch.column("doc_id").cast(pa.int64()).take(pa.array(owner, pa.int64()))
             for lo in range(0, len(owner), 5000):
                 y = slice(lo, lo + 5000)
-                cols = [keys.slice(lo, 5000), pa.array(piece[y], pa.int32()), pa.array(start[y], pa.int64()), pa.array(length[y], pa.int64()), pa.array(ids[y], pa.binary())]
-                yield pa.record_batch(cols, ["doc_id", "piece", "start", "length", "ids"])
+                cols = [pa.array(np.arange(row, row + len(piece[y]))), keys.slice(lo, 5000), pa.array(piece[y], pa.int32()), pa.array(start[y], pa.int64()), pa.array(length[y], pa.int64()), pa.array(ids[y], pa.binary())]
+                row += len(piece[y])
+                yield pa.record_batch(cols, ["row", "doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -213,10 +224,10 @@ def _places(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarr
 def packed(docs: DataFrame, store: Store, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     if with_ids:
-        found = store.put(pieces(docs, path, capacity), "pieces")
+        found = store.put(pieces(docs, path, capacity).drop("row"), "pieces")
         found = found.withColumn("ids_crc32", F.crc32("ids"))
     else:
-        found = store.put(pieces(docs, path, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+        found = store.put(pieces(docs, path, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids", "row"), "pieces")
     counts = {r.length: r["count"] for r in found.groupBy("length").count().collect()}  # one row for each length up to the capacity
     ranked = numbered(found, "_rank", ["doc_id", "piece", "start", "ids_crc32"], ["length"], rows=sum(counts.values()))
     places = docs.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity)))  # bounded by the capacity, not by the rows
