@@ -188,10 +188,11 @@ class WindowIndex:
         need = merged.join(mixed, "a", "left_semi").select("first.*", F.col("batch"))
         need = need.groupBy("id", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans"), F.max(F.col("batch") == k).alias("new"))
         win = self.store.put(self._windows(history, need), f"win{k}")
-        seen = win.groupBy("w", "c").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("w", "c", "first")
+        # stored, so that the join below reads both sides as they are and its hot windows can be split
+        seen = self.store.put(win.groupBy("w", "c").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("w", "c", "first"), f"seen{k}")
         single = win.where("new").join(seen, ["w", "c"]).where("id > first").select("id", "t", "s", F.lit(1).alias("n"))
         out = self.store.put(whole.unionByName(single), f"repeats{k}")
-        for name in (f"rows{k}", f"win{k}", *([f"merged{k}"] if len(self.runs) > 1 else [])):
+        for name in (f"rows{k}", f"win{k}", f"seen{k}", *([f"merged{k}"] if len(self.runs) > 1 else [])):
             self.store.drop(name)
         if len(self.runs) > self.max_runs:
             self.compact()
