@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch: texts may be long, so batches stay far below Spark's default.
 BATCH_ROWS = 2000
 #: Rows numbered inside one window partition.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -57,6 +57,22 @@ class Store:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_CACHES: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """A dictionary that Python workers keep between tasks of one operator."""
+    _CACHES.append(cache)
+    return cache
+
+
+def use_only(cache: dict | None) -> None:
+    """Empty what other operators have left in this worker: workers serve one stage after another."""
+    for other in _CACHES:
+        if other is not cache and other:
+            other.clear()
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

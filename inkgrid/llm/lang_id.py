@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, cut
+from .common import as_bytes, batches, cut, use_only, worker_cache
 
 #: Characters of text that a language is learned from, and documents they are taken from at most.
-SAMPLE_CHARS, SAMPLE_DOCS = 60_000, 400
+SAMPLE_CHARS, SAMPLE_DOCS = 40_000, 400
+#: Rows of parsed words that a worker keeps.
+PARSED = 400_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -87,58 +89,61 @@ class Automaton:
 
 
 class Model:
-    """Automata by language; words are parsed once."""
+    """Automata by language; a word is parsed once, until too many are known."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.automata = [Automaton(samples[k]) for k in self.langs]
-        self.words: dict[str, np.ndarray] = {}
+        #: Row of the table for a chunk between white spaces and for a word (a run of letters).
         self.chunks: dict[bytes, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.table = np.empty((0, 2 * len(self.langs) + 1))
-
-    def _word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            got = np.array([1.0 * len(word), *(x for a in self.automata for x in a.parse(word))])
-            if len(word) <= 64:
-                if len(self.words) > 200_000:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
-    def _chunk(self, chunk: bytes) -> np.ndarray:
-        """Letters, then phrases and cost for each language, of what stands between two white spaces."""
-        out = np.zeros(1 + 2 * len(self.langs))
-        for word in _RUNS.findall(chunk.decode("utf-8", "replace").lower()):
-            out += self._word(word)
-        return out
+        self.words: dict[str, int] = {}
+        self.table = np.zeros((PARSED, 1 + 2 * len(self.langs)), np.float32)
+        self.used = 0
+
+    def _row(self, values: np.ndarray) -> int:
+        if self.used == len(self.table):  # only a text of very many different words comes here
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used] = values
+        self.used += 1
+        return self.used - 1
+
+    def _word(self, word: str) -> int:
+        i = self.words.get(word)
+        if i is None:
+            i = self._row(np.array([len(word), *(x for a in self.automata for x in a.parse(word))], np.float32))
+            self.words[word] = i
+        return i
+
+    def _chunk(self, chunk: bytes) -> int:
+        found = [self._word(w) for w in _RUNS.findall(chunk.decode("utf-8", "replace").lower())]
+        i = found[0] if len(found) == 1 else self._row(self.table[found].sum(0))
+        self.chunks[chunk] = i
+        return i
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """For each text: letters, then phrases and cost for each language."""
-        if len(self.chunks) > 400_000:
+        if self.used > PARSED * 3 // 4 or len(self.chunks) > PARSED:
             self.chunks.clear()
-            self.rows.clear()
-        chunks, index, sizes = self.chunks, [], []
+            self.words.clear()
+            self.table = self.table[:PARSED]
+            self.used = 0
+        get, index, sizes = self.chunks.get, [], []
         for text in texts:
             words = text.split()
             sizes.append(len(words))
-            for w in words:
-                i = chunks.get(w)
-                if i is None:
-                    i = chunks[w] = len(self.rows)
-                    self.rows.append(self._chunk(w))
-                index.append(i)
-        if not index:
-            return np.zeros((len(texts), 1 + 2 * len(self.langs)))
-        index = np.array(index)
-        used, index = np.unique(index, return_inverse=True)
-        table = np.stack([self.rows[i] for i in used.tolist()])
+            rows = list(map(get, words))
+            if None in rows:
+                for at, w in enumerate(words):
+                    if rows[at] is None:
+                        rows[at] = self._chunk(w) if (i := get(w)) is None else i
+            index.append(np.array(rows, np.int32))
         edges = np.concatenate([[0], np.cumsum(sizes)])
-        out = np.zeros((len(texts), table.shape[1]))
+        out = np.zeros((len(texts), self.table.shape[1]))
         some = np.nonzero(np.diff(edges))[0]
-        for c in range(table.shape[1]):
-            out[some, c] = np.add.reduceat(table[index, c], edges[some])
+        if len(some):
+            flat = np.concatenate(index)
+            for c in range(out.shape[1]):
+                out[some, c] = np.add.reduceat(self.table[flat, c], edges[some], dtype=np.float64)
         return out
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
@@ -163,22 +168,27 @@ def held_out(remainder: int = 2, parts: int = 4) -> Column:
 
 
 def fit(docs: DataFrame, chars: int = SAMPLE_CHARS, most_docs: int = SAMPLE_DOCS) -> dict[str, str]:
-    """A bounded sample of text for each label: ``chars`` characters from its documents with the smallest hashes."""
-    rows = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("_h"))
-    ordered = Window.partitionBy("lang").orderBy("_h", "text")
-    rows = rows.withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= most_docs).select("lang", "_n", F.substring("text", 1, max(1, chars // 40)).alias("text"))
-    samples: dict[str, str] = {}
-    for r in rows.orderBy("lang", "_n").toLocalIterator():
-        old = samples.get(r.lang, "")
-        if len(old) < chars:
-            samples[r.lang] = old + "".join(f" {w} " for w in _RUNS.findall(r.text.lower())).replace("  ", " ")
-    return {k: v[:chars] for k, v in samples.items() if v.strip()}
+    """A bounded sample of text for each label: ``chars`` characters from its ``most_docs`` documents with the smallest hashes.
+
+    Documents are chosen by label and hash alone, first in 64 parts of each label, so no label's rows meet in one task.
+    """
+    rows = docs.where("lang is not null and text is not null").withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+    some = rows.select(F.col("lang").alias("_l"), "_h")
+    for by in ([F.col("_l"), F.pmod("_h", F.lit(64))], [F.col("_l")]):
+        some = some.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_h"))).where(F.col("_n") <= most_docs).select("_l", "_h")
+    each = max(1, chars // 40)
+    found = rows.join(F.broadcast(some.distinct()), (rows["lang"] == some["_l"]) & (rows["_h"] == some["_h"]), "left_semi")
+    samples: dict[str, list[str]] = {}
+    for r in found.select("lang", "_h", F.substring("text", 1, each).alias("text")).orderBy("lang", "_h", "text").toLocalIterator():
+        samples.setdefault(r.lang, []).append(" ".join(_RUNS.findall(r.text.lower())))
+    return {k: got for k, v in samples.items() if (got := f" {' '.join(v)} "[:chars]).strip()}
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[int, Model] = worker_cache({})
 
 
 def _model(samples: dict[str, str]) -> Model:
+    use_only(_MODELS)
     key = hash(tuple(sorted(samples.items())))
     if key not in _MODELS:
         _MODELS.clear()
@@ -189,14 +199,14 @@ def _model(samples: dict[str, str]) -> Model:
 def identify(docs: DataFrame, samples: dict[str, str], keep: list[str] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``docs``, lang_pred and score; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by fit()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col("text").alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *(["text"] if "text" not in keep else []))
     schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in batches(it):
-            texts = as_bytes(batch.column("text"))
-            for lo, hi in cut(batch, texts):
+            texts = as_bytes(batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text"))
+            for lo, hi in cut(batch, texts, 1 << 21):
                 lang, score = model.predict(texts[lo:hi])
                 yield pa.record_batch([batch.column("row").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, as_bytes, batches
+from .common import Store, as_bytes, batches, use_only
 from .components import components
 
 #: Rows compared with each other at once.
@@ -219,6 +219,7 @@ def _sketches(docs: DataFrame, k: int, full: bool) -> DataFrame:
     """id, fp, n (different shingles), keys (minima of the shingle hashes), and with ``full`` the set itself (32-bit hashes)."""
 
     def run(it):
+        use_only(None)
         for batch in batches(it):
             fps, sizes, keys, sets = [], [], [], []
             for t in as_bytes(batch.column("text")):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, as_bytes, batches, numbered
+from .common import Store, as_bytes, batches, numbered, use_only, worker_cache
 
 CAPACITY = 2048
 #: Token that ends a document.
@@ -36,7 +36,7 @@ _TAIL = re.compile(r"(\w+)([!-&(-/:-@\[-`{-~]+)")
 class _Ids(dict):
     """Little-endian ids of what stands between two white spaces. The least used half is forgotten when there are too many."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -60,11 +60,12 @@ class _Ids(dict):
         return ids
 
 
-_IDS: dict[str, _Ids] = {}
+_IDS: dict[str, _Ids] = worker_cache({})
 
 
 def word_tokens(path: str) -> Callable[[bytes], bytes]:
     """Ids of a text by a tokenizer that drops white space (so ASCII white space parts independent chunks)."""
+    use_only(_IDS)
     if path not in _IDS:
         _IDS[path] = _Ids(path)
     get = _IDS[path].__getitem__

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, as_bytes, batches, cut
+from .common import Store, as_bytes, batches, cut, use_only, worker_cache
 
 WIDTH, GRAM = 50, 10
 _BASE = 0x9E3779B97F4A7C15
@@ -41,7 +41,7 @@ class _Words(dict):
     """Hashes of words, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -49,7 +49,7 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
+_WORDS = worker_cache(_Words())
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -78,6 +78,7 @@ class _Text:
         n = int(self.start[-1])
         if n > int(_LOW):
             raise ValueError("a text of over 2^30 words")
+        use_only(_WORDS)
         get = _WORDS.__getitem__
         h = np.fromiter((get(w) for ws in self.words for w in ws), np.uint64, n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, n), dtype=np.uint64)])
