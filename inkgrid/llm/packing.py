@@ -33,14 +33,25 @@ END = b"\0\0\0\0"
 _TAIL = re.compile(r"(\w+)([!-&(-/:-@\[-`{-~]+)")
 
 
+#: Words that the tokenizer's normal form and splitting leave as they are, but for the case of A-Z: precomposed Latin letters.
+_PLAIN = re.compile("[a-zß-öø-ÿĀ-įĲ-ňŊ-ž]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """A letter for each byte, as byte-level vocabularies have it: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    return dict(zip([*own, *(b for b in range(256) if b not in set(own))], map(chr, [*own, *range(256, 512)])))
+
+
 class _Ids(dict):
     """Little-endian ids of what stands between two white spaces. The least used half is forgotten when there are too many."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.old.get(chunk)
@@ -51,7 +62,7 @@ class _Ids(dict):
                 ids = self[tail[1].encode()] + self[tail[2].encode()]
             else:
                 low = chunk.lower() if b"<" not in chunk else chunk  # the tokenizer does so too, but for its special tokens
-                ids = self[low] if low != chunk else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = self[low] if low != chunk else np.array(self._encode(text), "<u4").tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
             if len(self) > self.most:
@@ -59,6 +70,11 @@ class _Ids(dict):
                 self.clear()
         return ids
 
+    def _encode(self, text: str) -> list[int]:
+        if _PLAIN.fullmatch(text) and text.islower():  # one word: its bytes' letters go to the merges directly
+            return [x.id for x in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
 
 _IDS: dict[str, _Ids] = worker_cache({})
 
