@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, batches
 
 #: Bytes of text that one task's trie may hold before its largest subtree is passed on.
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 48 << 20
 
 
 class Trie:

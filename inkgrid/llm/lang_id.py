@@ -30,7 +30,7 @@ from .common import as_bytes, batches, cut, use_only, worker_cache
 #: Characters of text that a language is learned from, and documents they are taken from at most.
 SAMPLE_CHARS, SAMPLE_DOCS = 40_000, 400
 #: Rows of parsed words that a worker keeps.
-PARSED = 400_000
+PARSED = 200_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 

@@ -46,7 +46,7 @@ def _byte_letters() -> dict[int, str]:
 class _Ids(dict):
     """Little-endian ids of what stands between two white spaces. The least used half is forgotten when there are too many."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         super().__init__()
         from tokenizers import Tokenizer
 
