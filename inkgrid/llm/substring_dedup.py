@@ -8,7 +8,8 @@ ingested batch, merged by (anchor, group) with a new batch and compacted when th
 
 A batch is judged in two steps. A group that also occurs in a document with a smaller id is a repeat as a whole.
 Groups that share their anchor but not all their words are compared window by window; there only the first
-document of each different group has to be read, for its later copies are repeats already. A link needs both the
+document of each different group has to be read, at every place where it has the group, for copies in later documents
+are repeats already. A link needs both the
 anchor hash and the hash of the whole content to agree (128 bits, or 96 for single windows), so the second verifies
 what the first has found.
 
@@ -180,20 +181,25 @@ class WindowIndex:
         run = self.store.put(new.sortWithinPartitions("a", "g").withColumn("batch", F.lit(k)), f"run{k}")
         self.runs[f"run{k}"] = run.drop("last")
         merged = self.store.put(self._merged(), f"merged{k}") if len(self.runs) > 1 else run.drop("last")
-        # whole groups that an earlier document has too
-        again = run.select("a", "g", "last").join(merged.select("a", "g", F.col("first.id").alias("first")), ["a", "g"]) if len(self.runs) > 1 else run.select("a", "g", "last", F.col("first.id").alias("first"))
-        again = again.where("last > first").select("a", "g", "first")
-        whole = rows.join(again, ["a", "g"]).where("id > first").select("id", "t", "s", "n")
-        # anchors with several groups, one of them new: their windows one by one
+        # anchors with several groups, one of them new: their windows are compared one by one
         mixed = merged.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.max("batch").alias("b")).where(f"c > 1 and b = {k}").select("a")
-        need = merged.join(mixed, "a", "left_semi").select("first.*", F.col("batch"))
-        need = need.groupBy("id", "t").agg(F.collect_list(F.struct("s", "n")).alias("spans"), F.max(F.col("batch") == k).alias("new"))
+        mixed = self.store.put(merged.join(mixed, "a", "left_semi"), f"mixed{k}")
+        # groups that an earlier document has too, and groups of mixed anchors: where they are in the new documents
+        again = run.select("a", "g", "last").join(merged.select("a", "g", F.col("first.id").alias("first")), ["a", "g"]) if len(self.runs) > 1 else run.select("a", "g", "last", F.col("first.id").alias("first"))
+        again = again.where("last > first").select("a", "g", "first", F.lit(False).alias("own"))
+        again = again.unionByName(mixed.where(f"batch = {k}").select("a", "g", F.col("first.id").alias("first"), F.lit(True).alias("own")))
+        again = self.store.put(again.groupBy("a", "g", "first").agg(F.max("own").alias("own")), f"again{k}")
+        hits = self.store.put(rows.join(again, ["a", "g"]).where("id > first or own and id = first").select("id", "t", "s", "n", (F.col("id") > F.col("first")).alias("whole")), f"hits{k}")
+        whole = hits.where("whole").select("id", "t", "s", "n")
+        # a first document is judged at every place where it has the group, and so is each of the rows that share its id
+        need = mixed.select("first.*", (F.col("batch") == k).alias("new")).unionByName(hits.where("not whole").select("id", "t", "s", "n", F.lit(True).alias("new")))
+        need = need.groupBy("id", "t").agg(F.collect_set(F.struct("s", "n")).alias("spans"), F.max("new").alias("new"))
         win = self.store.put(self._windows(history, need), f"win{k}")
         # stored, so that the join below reads both sides as they are and its hot windows can be split
         seen = self.store.put(win.groupBy("w", "c").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("w", "c", "first"), f"seen{k}")
         single = win.where("new").join(seen, ["w", "c"]).where("id > first").select("id", "t", "s", F.lit(1).alias("n"))
         out = self.store.put(whole.unionByName(single), f"repeats{k}")
-        for name in (f"rows{k}", f"win{k}", f"seen{k}", *([f"merged{k}"] if len(self.runs) > 1 else [])):
+        for name in (f"rows{k}", f"mixed{k}", f"again{k}", f"hits{k}", f"win{k}", f"seen{k}", *([f"merged{k}"] if len(self.runs) > 1 else [])):
             self.store.drop(name)
         if len(self.runs) > self.max_runs:
             self.compact()
