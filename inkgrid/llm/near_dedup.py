@@ -6,8 +6,9 @@ every chain of l consecutive segments differs in at most l*tau/m bits. Candidate
 segment (a chain of one), longer chains prune them, and the full distance decides.
 
 For near copies by shingle overlap (``similar_documents``) 64 bits would need a tolerance at which a single segment
-selects nothing, so documents meet there by minima of their shingle hashes; the ring filter prunes, and the exact
-Jaccard similarity of the shingle sets decides.
+selects nothing, so documents meet there by minima of their shingle hashes: first by single minima, then, among
+documents that are not joined yet, by bands of four. Parities of shingle counts prune by a bound that no pair within
+reach can break, and the exact Jaccard similarity of the shingle sets decides.
 
 Blocks above ``cap`` rows are split into tiles, each pair of tiles a task's work: no row or pair is lost. A block
 returns a spanning forest of its links, never all pairs.
@@ -33,7 +34,11 @@ from .components import components
 #: Rows compared with each other at once.
 BLOCK = 4000
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], np.uint64)
-_MINIMA = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: Factors of the shingle hashes whose minima are keys: the first SINGLES alone, then BANDS of WIDE together.
+SINGLES, BANDS, WIDE = 4, 40, 4
+_MINIMA = np.array([xxhash.xxh64_intdigest(b"%d" % i, 7) | 1 for i in range(SINGLES + BANDS * WIDE)], np.uint64)
+#: Bits of the parities.
+PARITIES = 1024
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -215,24 +220,90 @@ def simhash_groups(docs: DataFrame, store: Store, k: int = 5, tau: int = 4, m: i
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _sketches(docs: DataFrame, k: int, full: bool) -> DataFrame:
-    """id, fp, n (different shingles), keys (minima of the shingle hashes), and with ``full`` the set itself (32-bit hashes)."""
+def _minima(h: np.ndarray) -> np.ndarray:
+    """The least product of the hashes with each factor."""
+    out = np.full(len(_MINIMA), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(h), 2000):
+        np.minimum(out, (h[lo : lo + 2000, None] * _MINIMA).min(0), out)
+    return out
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _sketches(docs: DataFrame, k: int) -> DataFrame:
+    """row (a number of its own), id, t (hash of the text), n (different shingles), single and bands (keys of the minima)."""
 
     def run(it):
+        from pyspark import TaskContext
+
         use_only(None)
+        row = TaskContext.get().partitionId() << 36
         for batch in batches(it):
-            fps, sizes, keys, sets = [], [], [], []
-            for t in as_bytes(batch.column("text")):
-                h = shingle_hashes(t, k)
-                fps.append(simhash(h))
-                u = np.unique((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)) if len(h) else np.empty(0, np.uint32)
-                sizes.append(len(u))
-                keys.append([int((h * c).min()) - (1 << 63) for c in _MINIMA] if len(h) else [0])
-                sets.append(u.tobytes() if full else b"")
-            cols = [batch.column("doc_id").cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.record_batch(cols, ["id", "fp", "n", "keys", "shingles"])
+            sizes, single, bands = [], [], []
+            for text in as_bytes(batch.column("text")):
+                h = np.unique(shingle_hashes(text, k))
+                sizes.append(len(np.unique(h.astype(np.uint32))))
+                # texts without words meet by a key of their own
+                least = _minima(h) if len(h) else np.zeros(len(_MINIMA), np.uint64)
+                single.append(least[:SINGLES].view(np.int64))
+                wide = least[SINGLES:].reshape(BANDS, WIDE)
+                mixed = wide[:, 0].copy()
+                for i in range(1, WIDE):
+                    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + wide[:, i]
+                bands.append((mixed + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+            ends = np.arange(len(sizes) + 1, dtype=np.int32)
+            cols = [pa.array(np.arange(row, row + len(sizes))), batch.column("doc_id").cast(pa.int64()), batch.column("t"), pa.array(sizes, pa.int32())]
+            cols += [pa.ListArray.from_arrays(pa.array(ends * x), pa.array(np.concatenate(keys))) for x, keys in ((SINGLES, single), (BANDS, bands))]
+            row += len(sizes)
+            yield pa.record_batch(cols, ["row", "id", "t", "n", "single", "bands"])
+
+    docs = docs.where("doc_id is not null").select("doc_id", "text", _text_hash().alias("t"))
+    return docs.mapInArrow(run, "row long, id long, t long, n int, single array<long>, bands array<long>")
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """id, shingles (the set of 32-bit shingle hashes) of ``docs(row, text)``."""
+
+    def run(it):
+        use_only(None)
+        for batch in batches(it):
+            sets = [np.unique(shingle_hashes(t, k).astype(np.uint32)).tobytes() for t in as_bytes(batch.column("text"))]
+            yield pa.record_batch([batch.column("row"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return docs.select("row", "text").mapInArrow(run, "id long, shingles binary")
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, as bits, whether odd numbers of its elements fall into each of PARITIES classes.
+
+    Two sets differ in at least as many elements as their parities in bits.
+    """
+    flat = np.concatenate(sets).astype(np.int64) % PARITIES if sets else np.empty(0, np.int64)
+    cells = np.bincount(np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * PARITIES + flat, minlength=len(sets) * PARITIES)
+    return np.packbits((cells & 1).astype(bool).reshape(len(sets), PARITIES), axis=1).view(np.uint64)
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "id long, fp long, n int, keys array<long>, shingles binary")
+
+def within(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of all pairs of parities a[i] and b[j], of sets of sizes n[i] and m[j], that may be as similar as that.
+
+    A pair of that similarity differs in at most (1 - similarity) / (1 + similarity) of both sizes together.
+    """
+    left, right, step = [], [], max(1, 1_000_000 // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        x, y = n[lo : lo + step, None], m[None, :]
+        i, j = np.nonzero(np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
+        most = (n[i + lo] + m[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        apart = np.zeros(len(i), np.int64)
+        for w in range(a.shape[1]):
+            apart += np.bitwise_count(a[i + lo, w] ^ b[j, w])
+            if w % 4 == 3:
+                ok = apart <= most
+                i, j, most, apart = i[ok], j[ok], most[ok], apart[ok]
+        left.append(i + lo)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -254,32 +325,26 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_links(docs: DataFrame, store: Store, k: int = 5, similarity: float = 0.8, tau: int = 18, m: int = 8, cap: int = 1500) -> DataFrame:
-    """Links (a, b) that join documents whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
-
-    Two such documents share at least one of four minima with probability 1 - (1 - similarity)^4 or more (0.998 at
-    0.8). tau bits is far above the distances measured at similarity 0.8 (at most 15 on 64 bits).
-    """
-    small = store.put(_sketches(docs, k, False).drop("shingles"), "sketch")
-    keyed = small.select("id", "fp", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    rows = store.put(keyed.join(shared, "key", "left_semi"), "shared")
-    need = rows.select("id").distinct()
-    sets = _sketches(docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), k, True).select("id", "shingles")
-    rows = rows.dropDuplicates(["id", "key"]).join(sets, "id")
+def _key_links(docs: DataFrame, store: Store, keyed: DataFrame, k: int, similarity: float, cap: int, name: str) -> DataFrame:
+    """Links between rows of ``keyed(id, key, doc, t, n)`` that have a key in common and are as similar as that."""
+    rows = store.put(keyed.dropDuplicates(["id", "key"]), name)
+    need = rows.select(F.col("id").alias("row"), F.col("doc").alias("_d"), F.col("t").alias("_t")).distinct()
+    texts = docs.where("doc_id is not null").select("doc_id", "text").withColumn("_h", _text_hash())
+    texts = texts.join(need, (texts["doc_id"] == need["_d"]) & (texts["_h"] == need["_t"]))
+    rows = rows.select("id", "key", "n").join(_sets(texts, k).dropDuplicates(["id"]), "id")
 
     def link(t: pa.Table, at: tuple):
-        fp, n = t.column("fp").to_numpy().view(np.uint64), t.column("n").to_numpy().astype(np.float64)
+        n = t.column("n").to_numpy().astype(np.float64)
         left, right = _sides(t, at)
-        i, j = ring_pairs(fp[left], fp[right], tau, m, None)
+        sets = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
+        marks = parities(sets)
+        i, j = within(marks[left], marks[right], n[left], n[right], similarity)
         i, j = left[i], right[j]
-        ok = (i != j) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-        i, j = i[ok], j[ok]
+        i, j = i[i != j], j[i != j]
         some = np.unique(np.concatenate([i, j]))
         if not len(some):
             return some, some
-        picked = t.column("shingles").take(pa.array(some)).to_pylist()
-        both = _overlaps([np.frombuffer(x, np.uint32) for x in picked])
+        both = _overlaps([sets[x] for x in some.tolist()])
         a, b = np.searchsorted(some, i), np.searchsorted(some, j)
         # without words both sets are empty and the texts are equal
         ok = both[a, b] >= similarity * np.maximum(n[i] + n[j] - both[a, b], 0) - 1e-9
@@ -288,8 +353,29 @@ def similar_links(docs: DataFrame, store: Store, k: int = 5, similarity: float =
     return blocks(tiled(rows, ["key"], F.col("id"), cap), ["key"], link)
 
 
-def similar_documents(docs: DataFrame, store: Store, **options) -> DataFrame:
-    """``docs`` with all its columns, without documents that are near copies of one with a smaller doc_id (directly or by links)."""
-    comp = components(similar_links(docs, store, **options), store)
-    gone = comp.where("id <> component").select(F.col("id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def similar_links(docs: DataFrame, sketch: DataFrame, store: Store, k: int = 5, similarity: float = 0.8, cap: int = 1500) -> DataFrame:
+    """Links (a, b) that join rows of ``sketch`` whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Two such rows share none of the bands of minima with probability (1 - similarity^WIDE)^BANDS at most (7e-10 at
+    0.8). Rows joined by single minima before need not meet again in a band.
+    """
+    keyed = lambda c: sketch.select(F.col("row").alias("id"), F.col("id").alias("doc"), "t", "n", F.explode(F.array_distinct(c)).alias("key"))
+    one = keyed("single")
+    shared = one.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    first = store.put(_key_links(docs, store, one.join(shared, "key", "left_semi"), k, similarity, cap, "single"), "links1")
+    named = components(first, store, "cc1").withColumnRenamed("id", "_i")
+    wide = keyed("bands").join(named, F.col("id") == F.col("_i"), "left").withColumn("component", F.coalesce("component", "id")).drop("_i")
+    wide = store.put(wide, "bands")
+    apart = wide.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    second = _key_links(docs, store, wide.join(apart, "key", "left_semi").drop("component"), k, similarity, cap, "apart")
+    return first.unionByName(second)
+
+
+def similar_documents(docs: DataFrame, store: Store, k: int = 5, similarity: float = 0.8, cap: int = 1500) -> DataFrame:
+    """``docs`` with all its columns, without rows that are near copies of one with a smaller doc_id (directly or by links)."""
+    sketch = store.put(_sketches(docs, k), "sketch")
+    comp = components(similar_links(docs, sketch, store, k, similarity, cap), store)
+    named = store.put(comp.join(sketch.select(F.col("row").alias("id"), F.col("id").alias("doc"), "t"), "id").select("component", "doc", "t"), "named")
+    least = store.put(named.groupBy("component").agg(F.min("doc").alias("least")), "least")
+    gone = named.join(least, "component").where("doc > least").select(F.col("doc").alias("_gone"), F.col("t").alias("_text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_text"]), "left_anti")
