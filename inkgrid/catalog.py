@@ -542,8 +542,8 @@ def corpus_text_stats(spark, sf):
 
 @query()
 def stub_pipeline(spark, sf):
-    """Synthetic pages (one for each part of size 1) through the pipeline with model doubles; tests hold the lines against what was drawn."""
-    return corpus.synthetic_lines(table(spark, sf, "part").where("p_size = 1").select("p_partkey"))
+    """Synthetic pages (one for each part) through the pipeline with model doubles; tests hold the lines against what was drawn."""
+    return corpus.synthetic_lines(table(spark, sf, "part").select("p_partkey"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
