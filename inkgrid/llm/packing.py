@@ -12,6 +12,7 @@ piece; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, as_bytes, batches, numbered, use_only, worker_cache
+from .common import CACHE_BYTES, Recent, Store, as_bytes, batches, numbered, use_only, worker_cache
 
 CAPACITY = 2048
+#: Low bits of a piece's row number: its place among those of the task that made it.
+PART_BITS = 36
 #: Token that ends a document.
 END = b"\0\0\0\0"
 
@@ -43,32 +46,31 @@ def _byte_letters() -> dict[int, str]:
     return dict(zip([*own, *(b for b in range(256) if b not in set(own))], map(chr, [*own, *range(256, 512)])))
 
 
-class _Ids(dict):
-    """Little-endian ids of what stands between two white spaces. The least used half is forgotten when there are too many."""
+def _splits(path: str) -> bool:
+    """Whether the vocabulary's own rules are those that words are looked up by: NFC, white space parts and goes, lower case, letters of bytes."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    form, cut = ((rules.get(k) or {}) for k in ("normalizer", "pre_tokenizer"))
+    return [x.get("type") for x in form.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cut.get("pretokenizers", [])] == ["Split", "ByteLevel"] and not cut["pretokenizers"][1].get("add_prefix_space")
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
+
+class _Ids(Recent):
+    """Little-endian ids of what stands between two white spaces."""
+
+    def __init__(self, path: str, budget: int = CACHE_BYTES):
+        super().__init__(self._ids, budget)
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            text = chunk.decode("utf-8", "replace")
-            tail = _TAIL.fullmatch(text)
-            if tail and (tail[1] + tail[1].lower()).isalpha() and "<" not in tail[2]:
-                ids = self[tail[1].encode()] + self[tail[2].encode()]
-            else:
-                low = chunk.lower() if b"<" not in chunk else chunk  # the tokenizer does so too, but for its special tokens
-                ids = self[low] if low != chunk else np.array(self._encode(text), "<u4").tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-            if len(self) > self.most:
-                self.old = dict(self)
-                self.clear()
-        return ids
+    def _ids(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        tail = _TAIL.fullmatch(text)
+        if tail and (tail[1] + tail[1].lower()).isalpha() and "<" not in tail[2]:
+            return self[tail[1].encode()] + self[tail[2].encode()]
+        low = chunk.lower() if b"<" not in chunk else chunk  # the tokenizer does so too, but for its special tokens
+        return self[low] if low != chunk else np.array(self._encode(text), "<u4").tobytes()
 
     def _encode(self, text: str) -> list[int]:
         if _PLAIN.fullmatch(text) and text.islower():  # one word: its bytes' letters go to the merges directly
@@ -80,11 +82,16 @@ _IDS: dict[str, _Ids] = worker_cache({})
 
 
 def word_tokens(path: str) -> Callable[[bytes], bytes]:
-    """Ids of a text by a tokenizer that drops white space (so ASCII white space parts independent chunks)."""
+    """Ids of a text. Where the tokenizer drops white space, ASCII white space parts independent chunks, each looked up; else it encodes whole texts."""
     use_only(_IDS)
     if path not in _IDS:
-        _IDS[path] = _Ids(path)
-    get = _IDS[path].__getitem__
+        from tokenizers import Tokenizer
+
+        _IDS[path] = _Ids(path) if _splits(path) else Tokenizer.from_file(path)
+    held = _IDS[path]
+    if not isinstance(held, _Ids):
+        return lambda text: np.array(held.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    get = held.__getitem__
     return lambda text: b"".join([get(w) for w in text.split()])
 
 
@@ -102,7 +109,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, width: int = 4)
         from pyspark import TaskContext
 
         encode, stride = word_tokens(path), 4 * capacity
-        row = TaskContext.get().partitionId() << 36
+        row = TaskContext.get().partitionId() << PART_BITS
         for batch in batches(it):
             owner, piece, start, length, ids = [], [], [], [], []
             for i, text in enumerate(as_bytes(batch.column("text"))):
@@ -124,6 +131,36 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, width: int = 4)
     return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, piece int, start long, length long, ids binary")
 
 
+class Sums:
+    """What single lengths, pairs and triples of them sum up to, built once for all gaps up to the capacity.
+
+    ``pair[s, x]``: x and s - x are lengths, x the smaller one. ``triple[s, x]``: x is a length and s - x is a pair of
+    lengths of x at least. Lengths that are used up stay in the index; whoever uses it looks at what is left.
+    """
+
+    def __init__(self, lengths: list[int], capacity: int):
+        here = np.zeros(capacity + 1, bool)
+        here[lengths] = True
+        s, x = np.arange(capacity + 1)[:, None], np.arange(capacity + 1)[None, :]
+        rest = np.maximum(s - x, 0)
+        self.single = here
+        self.pair = here[None, :] & here[rest] & (x <= s - x)
+        self.largest = np.where(self.pair.any(1), capacity - np.argmax(self.pair[:, ::-1], axis=1), -1)  # smaller member of the most even pair
+        self.triple = here[None, :] & (self.largest[rest] >= x) & (x < s)
+
+    def fill(self, gap: int, left: dict[int, int]) -> Iterator[tuple[int, ...]]:
+        """Combinations of lengths still left that are exactly ``gap``: single, pairs, triples, the most even ones first."""
+        if self.single[gap] and gap in left:
+            yield (gap,)
+        for x in np.nonzero(self.pair[gap])[0][::-1].tolist():
+            if x in left and gap - x in left:
+                yield (gap - x, x)
+        for x in np.nonzero(self.triple[gap])[0][::-1].tolist():
+            if x in left:
+                pairs = np.nonzero(self.pair[gap - x, x:])[0][::-1] + x
+                yield from ((gap - x - y, y, x) for y in pairs.tolist() if y in left and gap - x - y in left)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, how many sequences hold just these) until the histogram is used up."""
     left = {k: v for k, v in histogram.items() if v}
@@ -131,6 +168,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
         raise ValueError("a length is outside 1 to the capacity")
     out: list[tuple[tuple[int, ...], int]] = []
     order = sorted(left)
+    sums = Sums(order, capacity)
 
     def spend(lengths: tuple[int, ...]) -> int:
         need: dict[int, int] = {}
@@ -146,21 +184,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                     order.remove(x)
         return times
 
-    def fill(gap: int) -> Iterator[tuple[int, ...]]:
-        """Single, pair and triple sums that are exactly ``gap``, of lengths still there."""
-        if gap in left:
-            yield (gap,)
-        here = [x for x in order if x < gap]
-        yield from ((x, gap - x) for x in reversed(here) if x <= gap - x and gap - x in left)
-        for x in reversed(here):
-            rest = gap - x
-            # the two smaller ones, at most x
-            for y in reversed(here[: bisect_right(here, min(x, rest - 1))]):
-                if rest - y > y:
-                    break
-                if rest - y in left:
-                    yield (x, y, rest - y)
-
     # the longest first: its complement is the hardest to find; lengths no combination completes are set aside
     aside: dict[int, int] = {}
     while order:
@@ -169,7 +192,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
             spend((top,))
             continue
         found = False
-        for combo in fill(capacity - top):
+        for combo in sums.fill(capacity - top, left):
             while left.get(top) and spend((top, *combo)):
                 found = True
             if top not in left:
