@@ -214,9 +214,17 @@ def crop_dims(spark, sf):
 
 
 @query(f"""
-with {QUAD} select img, box_idx, pk, sk, case when ab < 1e-6 or round_even(ad / ab, 2) >= 1.5e0 then 'vertical' else 'horizontal' end as direction from sides""")
+with {BOXES}, q as (select *, w * (13 + pk % 5) / 10e0 as left_h, w * (13 + sk % 5) / 10e0 as right_h from boxes),
+e as (select *, sqrt(cast(w * w as double)) as up, sqrt((left_h - right_h) * (left_h - right_h) + w * w) as down from q)
+select img, box_idx, pk, sk, case when greatest(up, down) < 1e-6 or round_even(greatest(left_h, right_h) / greatest(up, down), 2) >= 1.5e0 then 'vertical' else 'horizontal' end as direction,
+  case when up < 1e-6 or round_even(left_h / up, 2) >= 1.5e0 then 'vertical' else 'horizontal' end as by_one_edge from e""")
 def box_direction(spark, sf):
-    return quad(boxes(spark, sf)).select(*KEY, G.direction("box").alias("direction"))
+    """Quads whose left and right edges differ by so much that one edge alone would often tell another direction."""
+    x0, y0, w = (F.col(c).cast("double") for c in ("x0", "y0", "w"))
+    high = lambda c: F.col("w") * (F.col(c) % 5 + 13) / F.lit(10.0)
+    box = F.array(G.point(x0, y0), G.point(x0 + w, y0), G.point(x0 + w, y0 + high("sk")), G.point(x0, y0 + high("pk")))
+    one = F.when(N.half_even(high("pk") / w, 2) >= 1.5, "vertical").otherwise("horizontal")
+    return boxes(spark, sf).select(*KEY, G.direction(box).alias("direction"), one.alias("by_one_edge"))
 
 
 @query(f"""
@@ -283,9 +291,10 @@ def component_boxes(spark, sf):
 
 @query(f"""
 with {BOXES}, r as (select *, row_number() over (partition by img order by {ORDER}) as n, cast(w as double) * h * 1.6e0 / (2e0 * (cast(w as double) + h)) as d from boxes)
-select img, box_idx, pk, sk, round(w + d * 2, 6) as grown_w, round(h + d * 2, 6) as grown_h from r where n <= 4 and least(w, h) >= 12 and score >= 0.5e0 and least(w + d * 2, h + d * 2) >= 30""")
+select img, box_idx, pk, sk, round(w + d * 2, 6) as grown_w, round(h + d * 2, 6) as grown_h from r where n <= 4 and least(w, h) >= 12 and score >= 0.5e0 and least(w + d * 2, h + d * 2) >= 30
+  and greatest(0, least(599, round_even(x0 + w + d, 0))) - greatest(0, least(599, round_even(x0 - d, 0))) > 3 and greatest(0, least(99, round_even(y0 + h + d, 0))) - greatest(0, least(99, round_even(y0 - d, 0))) > 3""")
 def det_filters(spark, sf):
-    df = detection.keep_candidates(boxes(spark, sf), "img", TIES, short=12, short_grown=30, most=4)
+    df = detection.keep_candidates(boxes(spark, sf), "img", TIES, short=12, short_grown=30, most=4, page=(600, 100))
     return df.select(*KEY, F.round("grown_w", 6).alias("grown_w"), F.round("grown_h", 6).alias("grown_h"))
 
 
@@ -304,9 +313,10 @@ def blank_text_filter(spark, sf):
 
 
 @query(f"""
-with {BOXES} select img, '[' || string_agg('{{"box":[[' || x0 || ',' || y0 || '],[' || (x0 + w) || ',' || y0 || '],[' || (x0 + w) || ',' || (y0 + h) || '],[' || x0 || ',' || (y0 + h) || ']],"txt":"t' || pk || '","score":' || score || '}}', ',' order by {ORDER}) || ']' as json from boxes group by img""")
+with {BOXES} select img, case when bool_or(pk % 97 = 0) then 'without txt' end as warning, case when not bool_or(pk % 97 = 0) then '[' || string_agg('{{"box":[[' || x0 || ',' || y0 || '],[' || (x0 + w) || ',' || y0 || '],[' || (x0 + w) || ',' || (y0 + h) || '],[' || x0 || ',' || (y0 + h) || ']],"txt":"t' || pk || '","score":' || score || '}}', ',' order by {ORDER}) || ']' end as json from boxes group by img""")
 def ocr_to_json(spark, sf):
-    df = boxes(spark, sf).withColumns({"box": G.rectangle("x0", "y0", "w", "h"), "txt": F.concat(F.lit("t"), F.col("pk").cast("string")), "i": F.struct(*TIES)})
+    """Some lines have no text: their images have no JSON but a warning."""
+    df = boxes(spark, sf).withColumns({"box": G.rectangle("x0", "y0", "w", "h"), "txt": F.when(F.col("pk") % 97 != 0, F.concat(F.lit("t"), F.col("pk").cast("string"))), "i": F.struct(*TIES)})
     return layout.to_json(df, "img", "i", "box", "txt", "score")
 
 

@@ -127,12 +127,19 @@ def crop_size(box) -> Column:
 
 
 def clockwise(points) -> Column:
-    """Top left, top right, bottom right, bottom left: by x in halves, each half by y."""
-    by_x = F.array_sort(col(points))
-    side = lambda a: F.array_sort(F.transform(a, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
-    left, right = side(F.slice(by_x, 1, 2)), side(F.slice(by_x, 3, 2))
-    out = [F.get(left, 0), F.get(right, 0), F.get(right, 1), F.get(left, 1)]
-    return F.array(*(point(p["x"], p["y"]) for p in out))
+    """Top left, top right, bottom right, bottom left: by x in halves, each half by y. Null unless there are four points.
+
+    Four points are put in order by exchanges of two, which whole-stage code does without sorting arrays.
+    """
+    p = [F.get(col(points), i) for i in range(4)]
+    p = [point(q["x"], q["y"]) for q in p]
+    for a, b in ((0, 2), (1, 3), (0, 1), (2, 3)):  # halves by x: which of both comes first in a half doesn't matter
+        p[a], p[b] = F.least(p[a], p[b]), F.greatest(p[a], p[b])
+    p[1], p[2] = F.least(p[1], p[2]), F.greatest(p[1], p[2])
+    turned = [F.struct(q["y"].alias("y"), q["x"].alias("x")) for q in p]
+    left, right = turned[:2], turned[2:]
+    out = [F.least(*left), F.least(*right), F.greatest(*right), F.greatest(*left)]
+    return F.when(F.size(col(points)) == 4, F.array(*(point(q["x"], q["y"]) for q in out)))
 
 
 def bounds(points) -> Column:
@@ -150,8 +157,9 @@ def box_height(box) -> Column:
 
 
 def direction(box) -> Column:
-    """vertical if the box is without width or at least half as high again as wide, else horizontal."""
-    w, h = box_width(box), box_height(box)
+    """vertical if the box is without width or at least half as high again as wide, else horizontal; of two opposite edges the longer one counts."""
+    p = [F.get(col(box), i) for i in range(4)]
+    w, h = F.greatest(distance(p[0], p[1]), distance(p[2], p[3])), F.greatest(distance(p[1], p[2]), distance(p[3], p[0]))
     return F.when(w < 1e-6, "vertical").when(half_even(h / w, 2) >= 1.5, "vertical").otherwise("horizontal")
 
 

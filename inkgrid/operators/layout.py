@@ -24,11 +24,16 @@ def merged_props(a: Column, b: Column) -> Column:
 
 
 def to_json(df: DataFrame, image: str = "image_id", index: str = "box_idx", box: str = "box", txt: str = "txt", score: str = "rec_score") -> DataFrame:
-    """One row per image: json, an array of {"box", "txt", "score"} in box order; rows lacking a part are left out."""
+    """One row per image: json, an array of {"box", "txt", "score"} in box order, and warning.
+
+    Where a row of the image lacks a part, there is no JSON for the image and warning says which part is missing.
+    """
     row = F.struct(F.transform(F.col(box), lambda p: F.array(p["x"], p["y"])).alias("box"), F.col(txt).alias("txt"), F.col(score).alias("score"))
-    whole = df.where(F.col(box).isNotNull() & F.col(txt).isNotNull() & F.col(score).isNotNull())
+    lacks = [F.when(F.max(F.col(c).isNull()), F.lit(name)) for name, c in (("box", box), ("txt", txt), ("score", score))]
+    missing = F.array_compact(F.array(*lacks))
     rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), row.alias("r")))), lambda x: x["r"])
-    return whole.groupBy(image).agg(F.to_json(rows).alias("json"))
+    pages = df.groupBy(image).agg(F.when(F.size(missing) == 0, F.to_json(rows)).alias("json"), missing.alias("_missing"))
+    return pages.select(image, "json", F.when(F.size("_missing") > 0, F.concat(F.lit("without "), F.array_join("_missing", ", "))).alias("warning"))
 
 
 def visual_lines(items: Column) -> Column:

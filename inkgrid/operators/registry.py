@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -68,13 +68,13 @@ def resolve_alias(df: DataFrame, lang: str = "lang") -> DataFrame:
     """Adds lang_resolved: the alias's language, else the language itself."""
     named = aliases(df.sparkSession).select(F.col("alias").alias("_alias"), F.col("lang").alias("_to"))
     df = df.withColumn("_lang", normalized(lang))
-    return df.join(F.broadcast(named), F.col("_lang") == F.col("_alias"), "left").withColumn("lang_resolved", F.coalesce("_to", "_lang")).drop("_lang", "_alias", "_to")
+    return df.join(named, F.col("_lang") == F.col("_alias"), "left").withColumn("lang_resolved", F.coalesce("_to", "_lang")).drop("_lang", "_alias", "_to")
 
 
 def with_support(df: DataFrame, task: str = "rec", version: str = ROUTED_VERSION, supported: bool = True) -> DataFrame:
     """Rows (lang_resolved, model_type) that a routed model exists for, or those that none exists for."""
     known = routes(df.sparkSession).where((F.col("task") == task) & (F.col("version") == version)).select("model_type", F.col("lang").alias("lang_resolved"))
-    return df.join(F.broadcast(known), ["lang_resolved", "model_type"], "left_semi" if supported else "left_anti")
+    return df.join(known, ["lang_resolved", "model_type"], "left_semi" if supported else "left_anti")
 
 
 def load_registry(source: str | Path | Mapping) -> list[tuple]:
@@ -108,16 +108,19 @@ def find_models(requests: DataFrame, models: DataFrame) -> DataFrame:
     Routed versions have one key; else the first key in file order that begins with the language and contains the
     model type. Requests without a model stay, with nulls.
     """
+    found = ["model_key", "model_dir", "sha256", "dict_url"]
+    # every different question is answered once; the answers meet the requests as they are
+    what = ["engine", "version", "task", "lang", "model_type"]
     routed = F.col("version").eqNullSafe(ROUTED_VERSION) & F.col("task").isin(*ROUTED_TASKS)
     key = F.when(routed, F.concat(F.lit("multi_"), "version", F.lit("_"), "task", F.lit("_"), "model_type"))
-    r = requests.withColumn("_key", key)
+    r = requests.select(*what).distinct().withColumn("_key", key)
     m = models.select(*(F.col(c).alias(f"_{c}") for c in models.columns))
     fits = F.when(F.col("_key").isNotNull(), F.col("_model_key") == F.col("_key")).otherwise(F.col("_model_key").startswith(F.col("lang")) & F.col("_model_key").contains(F.col("model_type")))
     on = (F.col("engine") == F.col("_engine")) & (F.col("version") == F.col("_version")) & (F.col("task") == F.col("_task")) & fits
-    joined = r.join(F.broadcast(m), on, "left")
-    first = F.row_number().over(Window.partitionBy("request_id").orderBy("_ord"))
-    found = joined.withColumn("_n", first).where("_n = 1")
-    return found.select(*requests.columns, F.col("_model_key").alias("model_key"), F.col("_model_dir").alias("model_dir"), F.col("_sha256").alias("sha256"), F.col("_dict_url").alias("dict_url"))
+    answer = F.min_by(F.struct(*(F.col(f"_{c}").alias(c) for c in found)), F.col("_ord")).alias("_found")
+    answers = r.join(m, on).groupBy(*what).agg(answer).select(*(F.col(c).alias(f"_{c}") for c in what), "_found")
+    out = requests.join(answers, [requests[c] == answers[f"_{c}"] for c in what], "left")
+    return out.select(*(requests[c] for c in requests.columns), *(F.col(f"_found.{c}").alias(c) for c in found))
 
 
 def dictionary_url(requests: DataFrame, models: DataFrame, engines: Iterable[str] = ("paddle", "onnxruntime")) -> DataFrame:
@@ -125,21 +128,39 @@ def dictionary_url(requests: DataFrame, models: DataFrame, engines: Iterable[str
     out, names = requests, []
     for i, engine in enumerate(engines):
         one = models.where(F.col("engine") == engine).select("version", "task", "model_key", F.col("dict_url").alias(f"_u{i}"))
-        out = out.join(F.broadcast(one), ["version", "task", "model_key"], "left")
+        out = out.join(one, ["version", "task", "model_key"], "left")
         names.append(f"_u{i}")
     return out.withColumn("dict_url", F.coalesce(*names)).drop(*names)
 
 
 def font_for(df: DataFrame, known: DataFrame, lang: str = "lang", default: str = "ch") -> DataFrame:
-    """Adds font: the language's, else the default language's."""
+    """Adds font: the language's, else the default language's, else null."""
     f = known.select(F.col("lang").alias("_lang"), F.col("path").alias("_path"))
-    d = known.where(F.col("lang") == default).select(F.col("path").alias("_default"))
-    return df.join(F.broadcast(f), df[lang] == F.col("_lang"), "left").join(F.broadcast(d)).withColumn("font", F.coalesce("_path", "_default")).drop("_lang", "_path", "_default")
+    d = known.agg(F.min(F.when(F.col("lang") == default, F.col("path"))).alias("_default"))  # one row, whatever the catalog has
+    return df.join(f, df[lang] == F.col("_lang"), "left").join(F.broadcast(d)).withColumn("font", F.coalesce("_path", "_default")).drop("_lang", "_path", "_default")
 
 
 def deduplicated(assets: DataFrame, path: str = "path", sha: str = "sha256") -> DataFrame:
     """One row per path; conflict marks paths with different checksums."""
-    return assets.groupBy(path).agg(F.min(sha).alias(sha), (F.count_distinct(sha) > 1).alias("conflict"), F.count(F.lit(1)).alias("n"))
+    return assets.groupBy(path).agg(F.min(sha).alias(sha), (F.min(sha) != F.max(sha)).alias("conflict"), F.count(F.lit(1)).alias("n"))
+
+
+class AssetConflict(ValueError):
+    """One path with several checksums."""
+
+
+def checked_assets(assets: DataFrame, path: str = "path", sha: str = "sha256") -> DataFrame:
+    """``deduplicated`` without its marks; paths with different checksums are an error, which names up to ten of them."""
+    found = deduplicated(assets, path, sha)
+    bad = [r[0] for r in found.where("conflict").select(path).orderBy(path).limit(11).collect()]
+    if bad:
+        raise AssetConflict(f"different checksums for {', '.join(map(str, bad[:10]))}{' and others' if len(bad) > 10 else ''}")
+    return found.select(path, sha)
+
+
+def missing_files(wanted: DataFrame, there: DataFrame, path: str = "path") -> DataFrame:
+    """The wanted paths that are not there, each once."""
+    return wanted.select(path).distinct().join(there.select(path).distinct(), path, "left_anti")
 
 
 def download_plan(options: Mapping, models: DataFrame) -> DataFrame:
