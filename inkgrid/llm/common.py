@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -80,7 +79,7 @@ _LAST: list[object] = [None]
 
 
 class Recent(dict):
-    """What ``make`` gave for the keys met of late, within about ``budget`` bytes.
+    """What ``make`` gave for the keys met of late (bytes or whole numbers for bytes), within about ``budget`` bytes.
 
     When half of the budget is used, the keys not met since the last such time are forgotten. Large entries are not kept.
     """
@@ -93,7 +92,7 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        size = sys.getsizeof(key) + sys.getsizeof(value) + 80
+        size = len(key) + 210 if type(value) is int else len(key) + len(value) + 180  # with what Python adds to both and a dictionary to the entry
         if size <= 512:
             self[key] = value
             self.used += size

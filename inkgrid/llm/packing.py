@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -23,21 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_BYTES, Recent, Store, as_bytes, batches, numbered, use_only, worker_cache
+from .common import Recent, Store, as_bytes, batches, numbered, use_only, worker_cache
 
 CAPACITY = 2048
 #: Low bits of a piece's row number: its place among those of the task that made it.
 PART_BITS = 36
+#: Bytes of the cache of words' ids in a worker (with a third of it, tokenising took half as long again).
+IDS_BYTES = 112 << 20
 #: Token that ends a document.
 END = b"\0\0\0\0"
 
 
-#: Letters with a tail of ASCII punctuation: two words to the tokenizer, whatever they are. (The apostrophe is not one of the tail.)
-_TAIL = re.compile(r"(\w+)([!-&(-/:-@\[-`{-~]+)")
-
-
-#: Words that the tokenizer's normal form and splitting leave as they are, but for the case of A-Z: precomposed Latin letters.
-_PLAIN = re.compile("[a-zß-öø-ÿĀ-įĲ-ňŊ-ž]+")
+#: A word that the tokenizer's normal form and splitting leave as it is (precomposed lower-case Latin letters), with a tail of ASCII
+#: punctuation, which is another word to the tokenizer, whatever it is. (The apostrophe is not one of the tail, nor is what begins a special token.)
+_WORD = re.compile("([a-zß-öø-ÿĀ-įĲ-ňŊ-ž]+)([!-&(-/:;=-@\\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,7 +57,7 @@ def _splits(path: str) -> bool:
 class _Ids(Recent):
     """Little-endian ids of what stands between two white spaces."""
 
-    def __init__(self, path: str, budget: int = CACHE_BYTES):
+    def __init__(self, path: str, budget: int = IDS_BYTES):
         super().__init__(self._ids, budget)
         from tokenizers import Tokenizer
 
@@ -66,16 +66,16 @@ class _Ids(Recent):
 
     def _ids(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
-        tail = _TAIL.fullmatch(text)
-        if tail and (tail[1] + tail[1].lower()).isalpha() and "<" not in tail[2]:
-            return self[tail[1].encode()] + self[tail[2].encode()]
-        low = chunk.lower() if b"<" not in chunk else chunk  # the tokenizer does so too, but for its special tokens
-        return self[low] if low != chunk else np.array(self._encode(text), "<u4").tobytes()
-
-    def _encode(self, text: str) -> list[int]:
-        if _PLAIN.fullmatch(text) and text.islower():  # one word: its bytes' letters go to the merges directly
-            return [x.id for x in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = _WORD.fullmatch(text)
+        if found and found[1].islower():
+            word, tail = found.groups()
+            if tail:
+                return self[word.encode()] + self[tail.encode()]
+            # one word: its bytes' letters go to the merges directly
+            letters = text if text.isascii() else chunk.decode("latin-1").translate(self.letters)
+            return array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+        low = chunk.lower() if b"<|" not in chunk else chunk  # the tokenizer does so too, but for its special tokens
+        return self[low] if low != chunk else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _IDS: dict[str, _Ids] = worker_cache({})
@@ -92,7 +92,7 @@ def word_tokens(path: str) -> Callable[[bytes], bytes]:
     if not isinstance(held, _Ids):
         return lambda text: np.array(held.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
     get = held.__getitem__
-    return lambda text: b"".join([get(w) for w in text.split()])
+    return lambda text: b"".join([get(w) for w in (text if b"<|" in text else text.lower()).split()])
 
 
 def id_width(path: str) -> int:
