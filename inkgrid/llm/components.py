@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Store
 
 
-def components(links: DataFrame, store: Store, name: str = "cc", most: int = 60) -> DataFrame:
+def components(links: DataFrame, store: Store, name: str = "cc") -> DataFrame:
     """``links(a, b)`` long -> ``(id, component)``, component the smallest id reachable; ids without links are absent.
 
     Nulls and self links are ignored. Every round is written to the shared store, so no round is computed twice
@@ -17,7 +19,7 @@ def components(links: DataFrame, store: Store, name: str = "cc", most: int = 60)
     """
     edges = store.put(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
     mark = None
-    for i in range(1, most):
+    for i in count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above u go to the smallest neighbour (or u itself)
@@ -32,6 +34,4 @@ def components(links: DataFrame, store: Store, name: str = "cc", most: int = 60)
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

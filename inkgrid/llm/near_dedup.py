@@ -7,7 +7,8 @@ segment (a chain of one), longer chains prune them, and the full distance decide
 
 For near copies by shingle overlap (``similar_documents``) 64 bits would need a tolerance at which a single segment
 selects nothing, so documents meet there by minima of their shingle hashes: first by single minima, then, among
-documents that are not joined yet, by bands of four. Parities of shingle counts prune by a bound that no pair within
+documents that are not joined yet, by bands of three. In a block, one document after another is held against those
+not joined with it yet: parities of shingle counts prune by a bound that no pair within
 reach can break, and the exact Jaccard similarity of the shingle sets decides.
 
 Blocks above ``cap`` rows are split into tiles, each pair of tiles a task's work: no row or pair is lost. A block
@@ -20,7 +21,8 @@ link. Rows that repeat an id share its component. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,13 @@ from .components import components
 BLOCK = 4000
 _SPREAD = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], np.uint64)
 #: Factors of the shingle hashes whose minima are keys: the first SINGLES alone, then BANDS of WIDE together.
-SINGLES, BANDS, WIDE = 4, 40, 4
+SINGLES, BANDS, WIDE = 4, 24, 3
 _MINIMA = np.array([xxhash.xxh64_intdigest(b"%d" % i, 7) | 1 for i in range(SINGLES + BANDS * WIDE)], np.uint64)
 #: Bits of the parities.
 PARITIES = 1024
+#: Bytes of a long text, and hashes, that are worked on at once.
+PART, HASHES = 1 << 22, 1 << 16
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -55,14 +60,40 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return np.array([digest(s[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64)
 
 
+def shingle_parts(text: bytes, k: int, part: int = PART) -> Iterator[np.ndarray]:
+    """``shingle_hashes`` of a text of any length, some ``part`` bytes of words at a time."""
+    if len(text) <= part:
+        yield shingle_hashes(text, k)
+        return
+    at, held, some = 0, b"", False  # held: what has been read but for shingles that are whole
+    while at < len(text):
+        cut = _SPACE.search(text, at + part)
+        end = cut.start() if cut else len(text)
+        held += b" " + text[at:end]
+        at = end
+        tail = held.rsplit(maxsplit=k)
+        if len(tail) > k or len(tail) == k and not tail[0][:1].isspace():
+            found = shingle_hashes(held, k)
+            yield found
+            some = True
+            held = b" ".join(held.rsplit(maxsplit=k - 1)[1 - k :] if k > 1 else [])
+    if not some:
+        yield shingle_hashes(held, k)
+
+
 def simhash(h: np.ndarray) -> int:
     """Majority bits of the hashes; 0 if there are none."""
-    n = len(h)
-    if not n:
-        return 0
-    # each hash byte becomes eight byte-wide counters, summed 255 rows at a time so that none overflows
-    counters = _SPREAD[h.view(np.uint8).reshape(n, 8)]
-    sums = np.add.reduceat(counters, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+    return majority([h])
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The same for hashes that come part by part."""
+    sums, n = np.zeros(64, np.int64), 0
+    for h in (h[lo : lo + HASHES] for h in parts for lo in range(0, len(h), HASHES)):
+        # each hash byte becomes eight byte-wide counters, summed 255 rows at a time so that none overflows
+        counters = _SPREAD[h.view(np.uint8).reshape(len(h), 8)]
+        sums += np.add.reduceat(counters, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(sums * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -186,7 +217,7 @@ def fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
 
     def run(it):
         for batch in batches(it):
-            fps = np.array([simhash(shingle_hashes(t, k)) for t in as_bytes(batch.column("text"))], np.uint64)
+            fps = np.array([majority(shingle_parts(t, k)) for t in as_bytes(batch.column("text"))], np.uint64)
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -228,6 +259,11 @@ def _minima(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(text: bytes, k: int) -> np.ndarray:
+    parts = [np.unique(h) for h in shingle_parts(text, k)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -243,7 +279,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches(it):
             sizes, single, bands = [], [], []
             for text in as_bytes(batch.column("text")):
-                h = np.unique(shingle_hashes(text, k))
+                h = _distinct(text, k)
                 sizes.append(len(np.unique(h.astype(np.uint32))))
                 # texts without words meet by a key of their own
                 least = _minima(h) if len(h) else np.zeros(len(_MINIMA), np.uint64)
@@ -269,7 +305,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(it):
         use_only(None)
         for batch in batches(it):
-            sets = [np.unique(shingle_hashes(t, k).astype(np.uint32)).tobytes() for t in as_bytes(batch.column("text"))]
+            sets = [np.unique(_distinct(t, k).astype(np.uint32)).tobytes() for t in as_bytes(batch.column("text"))]
             yield pa.record_batch([batch.column("row"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     return docs.select("row", "text").mapInArrow(run, "id long, shingles binary")
@@ -285,44 +321,49 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits((cells & 1).astype(bool).reshape(len(sets), PARITIES), axis=1).view(np.uint64)
 
 
-def within(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all pairs of parities a[i] and b[j], of sets of sizes n[i] and m[j], that may be as similar as that.
+def within(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the rows b may be as similar to the one row a as that, by parities and sizes (n of a, m of b).
 
     A pair of that similarity differs in at most (1 - similarity) / (1 + similarity) of both sizes together.
     """
-    left, right, step = [], [], max(1, 1_000_000 // max(1, len(b)))
-    for lo in range(0, len(a), step):
-        x, y = n[lo : lo + step, None], m[None, :]
-        i, j = np.nonzero(np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
-        most = (n[i + lo] + m[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        apart = np.zeros(len(i), np.int64)
-        for w in range(a.shape[1]):
-            apart += np.bitwise_count(a[i + lo, w] ^ b[j, w])
-            if w % 4 == 3:
-                ok = apart <= most
-                i, j, most, apart = i[ok], j[ok], most[ok], apart[ok]
-        left.append(i + lo)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+    j = np.nonzero(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)[0]
+    most = (n + m[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return j[np.bitwise_count(a ^ b[j]).sum(1, dtype=np.int64) <= most]
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets, by products of 0/1 matrices a few thousand shingles at a time."""
-    n = len(sets)
-    flat, who = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    found, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = times[column] > 1
-    rank = np.cumsum(times > 1) - 1
-    column, who = rank[column[keep]], who[keep]
-    order = np.argsort(column, kind="stable")
-    column, who = column[order], who[order]
-    out, width = np.zeros((n, n), np.float32), max(256, 4_000_000 // n)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        x = np.zeros((n, width), np.float32)
-        x[who[a:b], column[a:b] - lo] = 1
-        out += x @ x.T
-    return out
+def join_similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between left and right (the same rows, or two tiles) that join what all pairs of that Jaccard similarity would join.
+
+    A row is compared only with rows that are not joined with it yet, so a group of near copies takes about as many
+    comparisons as it has rows.
+    """
+    label, n = np.arange(len(sets)), np.array([len(x) for x in sets], np.float64)
+    marks, found = parities(sets), []
+    same = left is right
+    for at, i in enumerate(left.tolist()):
+        others = right[at + 1 :] if same else right
+        others = others[label[others] != label[i]]
+        if not len(others):
+            continue
+        others = others[within(marks[i], marks[others], n[i], n[others], similarity)]
+        if not len(others):
+            continue
+        own, each = sets[i], [sets[j] for j in others.tolist()]
+        if len(own):
+            flat = np.concatenate(each)
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            starts = np.cumsum([0, *(len(x) for x in each[:-1])])
+            both = np.add.reduceat((own[place] == flat).astype(np.int64), starts)
+            others = others[both >= similarity * (n[i] + n[others] - both) - 1e-9]
+        # without words both sets are empty and the texts are equal
+        for j in others.tolist():
+            if label[j] != label[i]:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    if not found:
+        return (np.empty(0, np.int64),) * 2
+    a, b = np.array(found).T
+    return a, b
 
 
 def _key_links(docs: DataFrame, store: Store, keyed: DataFrame, k: int, similarity: float, cap: int, name: str) -> DataFrame:
@@ -334,21 +375,9 @@ def _key_links(docs: DataFrame, store: Store, keyed: DataFrame, k: int, similari
     rows = rows.select("id", "key", "n").join(_sets(texts, k).dropDuplicates(["id"]), "id")
 
     def link(t: pa.Table, at: tuple):
-        n = t.column("n").to_numpy().astype(np.float64)
         left, right = _sides(t, at)
-        sets = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
-        marks = parities(sets)
-        i, j = within(marks[left], marks[right], n[left], n[right], similarity)
-        i, j = left[i], right[j]
-        i, j = i[i != j], j[i != j]
-        some = np.unique(np.concatenate([i, j]))
-        if not len(some):
-            return some, some
-        both = _overlaps([sets[x] for x in some.tolist()])
-        a, b = np.searchsorted(some, i), np.searchsorted(some, j)
-        # without words both sets are empty and the texts are equal
-        ok = both[a, b] >= similarity * np.maximum(n[i] + n[j] - both[a, b], 0) - 1e-9
-        return _links(t, i[ok], j[ok])
+        i, j = join_similar([np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()], left, right, similarity)
+        return _links(t, i, j)
 
     return blocks(tiled(rows, ["key"], F.col("id"), cap), ["key"], link)
 
@@ -356,7 +385,7 @@ def _key_links(docs: DataFrame, store: Store, keyed: DataFrame, k: int, similari
 def similar_links(docs: DataFrame, sketch: DataFrame, store: Store, k: int = 5, similarity: float = 0.8, cap: int = 1500) -> DataFrame:
     """Links (a, b) that join rows of ``sketch`` whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Two such rows share none of the bands of minima with probability (1 - similarity^WIDE)^BANDS at most (7e-10 at
+    Two such rows share none of the bands of minima with probability (1 - similarity^WIDE)^BANDS at most (3.3e-8 at
     0.8). Rows joined by single minima before need not meet again in a band.
     """
     keyed = lambda c: sketch.select(F.col("row").alias("id"), F.col("id").alias("doc"), "t", "n", F.explode(F.array_distinct(c)).alias("key"))
