@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch: texts may be long, so batches stay far below Spark's default.
 BATCH_ROWS = 2000
 #: Rows numbered inside one window partition, and blocks of rows whose sizes are summed up in one.
-BLOCK_ROWS, BLOCK_SPAN = 10_000, 4096
+BLOCK_ROWS, BLOCK_SPAN = 2_000, 4096
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -176,7 +176,7 @@ def running(sums: DataFrame, value: str, out: str, block: str, group: list[str]
     if span is None:
         return sums.withColumn(out, F.coalesce(F.sum(value).over(before(group, block)), F.lit(0)))
     sums = sums.withColumn("_span", F.floor(F.col(block) / span))
-    spans = sums.groupBy(*group, "_span").agg(F.sum(value).alias("_v"))
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_v").over(before(group, "_span")), F.lit(0))).drop("_v")
+    spans = sums.groupBy(*group, "_span").agg(F.sum(value).alias("_span_sum"))
+    spans = spans.withColumn("_spans_before", F.coalesce(F.sum("_span_sum").over(before(group, "_span")), F.lit(0))).drop("_span_sum")
     inside = sums.withColumn(out, F.coalesce(F.sum(value).over(before([*group, "_span"], block)), F.lit(0)))
-    return inside.join(spans, [*group, "_span"]).withColumn(out, F.col(out) + F.col("_before")).drop("_span", "_before")
+    return inside.join(spans, [*group, "_span"]).withColumn(out, F.col(out) + F.col("_spans_before")).drop("_span", "_spans_before")

@@ -1,8 +1,9 @@
 """Near-deduplication of embeddings by PCA-ordered, tiled comparison.
 
 Unit vectors are turned into the axes of a principal component analysis, leading axis first. Two vectors with
-cosine c are sqrt(2 - 2c) apart, so links lie within that distance on the first axis: vectors are dealt by label and
-by slices of that width, each slice compared with itself and with the next. Inside a task they are sorted along the
+cosine c are sqrt(2 - 2c) apart, so links lie within that distance on every axis: vectors are dealt by label and
+by squares of that width on the two axes along which they differ most, each square compared with itself and with its
+neighbours. Inside a task they are sorted along the
 first axis and compared tile by tile; products accumulate over the leading axes first, and a pair is dropped as soon
 as its product so far plus the product of its remaining norms cannot reach the threshold. Every bound is exact, so
 the axes (fitted on a bounded sample) only decide how early pairs stop, never which pairs link.
@@ -41,13 +42,16 @@ def _vectors(docs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            raw: list[bytes | None] = []
-            for key, label, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "embedding"))):
-                raw.append(None)
-                if v and key is not None and label is not None and None not in v:
-                    x = np.array(v, "<f8")
-                    if np.isfinite(x).all() and x.any():
-                        raw[-1] = (x + 0.0).tobytes()  # -0.0 and 0.0 are the same component
+            v = batch.column("embedding")
+            size = np.where(v.is_valid().to_numpy(zero_copy_only=False), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            x = v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) + 0.0  # a null component is not a number; -0.0 and 0.0 are the same
+            end = np.cumsum(size)
+            bad, some = (np.concatenate([[0], np.cumsum(y)]) for y in (~np.isfinite(x), x != 0))
+            good = (bad[end] == bad[end - size]) & (some[end] > some[end - size])
+            for c in ("vec_id", "label"):
+                good &= batch.column(c).is_valid().to_numpy(zero_copy_only=False)
+            data = x.astype("<f8").tobytes()
+            raw = [data[8 * (e - n) : 8 * e] if g else None for e, n, g in zip(end.tolist(), size.tolist(), good.tolist())]
             yield pa.record_batch([batch.column("vec_id"), batch.column("label"), pa.array(raw, pa.binary())], ["vec_id", "label", "raw"])
 
     docs = docs.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
@@ -60,8 +64,8 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Principal axes for each length of vector, from the ``sample`` vectors with the smallest id hashes."""
+def axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vector, from the ``sample`` vectors with the smallest id hashes: the principal axes for products (of what the vectors are) and the two leading ones for slices (of how they differ from their mean)."""
     rows = vectors.select("raw").orderBy(F.xxhash64("vec_id"), "raw").limit(sample).collect()
     by: dict[int, list[bytes]] = {}
     for r in rows:
@@ -69,8 +73,21 @@ def axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     out = {}
     for d, raw in by.items():
         u = _unit(raw)
-        _, v = np.linalg.eigh(u.T @ u)
-        out[d] = np.ascontiguousarray(v[:, ::-1])
+        apart = u - u.mean(0)
+        out[d] = tuple(np.ascontiguousarray(np.linalg.eigh(m.T @ m)[1][:, ::-1]) for m in (u, apart))
+        out[d] = out[d][0], out[d][1][:, : min(2, d)]
+    return out
+
+
+def cells(raw: list[bytes], turn: dict[int, tuple[np.ndarray, np.ndarray]], reach: float) -> np.ndarray:
+    """Slice of each vector on both axes (0 on the second where there is one component only)."""
+    out = np.zeros((len(raw), 2), np.int32)
+    sizes = np.array([len(r) for r in raw])
+    for n in np.unique(sizes).tolist():
+        here = np.nonzero(sizes == n)[0]
+        d = n // 8
+        lead = turn[d][1] if d in turn else np.eye(d)[:, :2]
+        out[here, : lead.shape[1]] = np.floor(_unit([raw[i] for i in here.tolist()]) @ lead / reach)
     return out
 
 
@@ -115,26 +132,27 @@ def embedding_groups(docs: DataFrame, store: Store, cosine: float = 0.98, cap: i
     turn = axes(usable, sample)
     reach = math.sqrt(2 - 2 * cosine) + 1e-6
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(turn)  # at most a square matrix for each length of vector in the sample
+    shared = spark.sparkContext.broadcast(turn)  # a square matrix and two axes for each length of vector in the sample
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            raw, where = batch.column("raw").to_pylist(), []
-            for r in raw:
-                d = len(r) // 8
-                where.append(int(math.floor(float((_unit([r]) @ shared.value.get(d, np.eye(d)))[0, 0]) / reach)))
-            yield pa.record_batch([*batch.columns, pa.array([len(r) // 8 for r in raw], pa.int32()), pa.array(where, pa.int32())], [*batch.schema.names, "d", "slice"])
-
-    rows = same.select("label", "raw", "id", "w").mapInArrow(place, "label string, raw binary, id long, w long, d int, slice int")
-    # each slice also receives the one before it, as visitors
-    rows = rows.withColumn("_s", F.explode(F.array(F.struct(F.col("slice").alias("at"), F.lit(True).alias("home")), F.struct((F.col("slice") + 1).alias("at"), F.lit(False).alias("home")))))
-    rows = rows.select("label", "d", "raw", "id", "w", F.col("_s.at").alias("at"), F.col("_s.home").alias("home"))
+            raw = batch.column("raw").to_pylist()
+            where = cells(raw, shared.value, reach)
+            yield pa.record_batch([*batch.columns, pa.array([len(r) // 8 for r in raw], pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in where.T)], [*batch.schema.names, "d", "x", "y"])
+
+    rows = same.select("label", "raw", "id", "w").mapInArrow(place, "label string, raw binary, id long, w long, d int, x int, y int")
+    # a square is at home in itself and visits four of its neighbours: of two neighbours, one visits the other
+    to = [F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(dx == dy == 0).alias("home")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]
+    rows = rows.withColumn("_s", F.explode(F.array(*to))).select("label", "d", "raw", "id", "w", F.col("_s.x").alias("x"), F.col("_s.y").alias("y"), F.col("_s.home").alias("home"))
+    # a visitor that meets nobody at home has come in vain
+    settled = rows.where("home").select("label", "d", "x", "y").distinct()
+    rows = rows.join(settled, ["label", "d", "x", "y"], "left_semi")
 
     def link(t: pa.Table, at: tuple):
         raw, home = t.column("raw").to_pylist(), t.column("home").to_numpy(zero_copy_only=False).astype(bool)
         w, ids = t.column("w").to_numpy(), t.column("id").to_numpy()
         u = _unit(raw)
-        x = u @ shared.value.get(u.shape[1], np.eye(u.shape[1]))
+        x = u @ (shared.value[u.shape[1]][0] if u.shape[1] in shared.value else np.eye(u.shape[1]))
         left, right = _sides(t, at)
         own = at[-2] == at[-1]
         links, ii, jj = np.zeros(t.num_rows, np.int64), [], []
@@ -157,7 +175,7 @@ def embedding_groups(docs: DataFrame, store: Store, cosine: float = 0.98, cap: i
         # links (a, b), and counts as (a, -1 - count)
         return np.concatenate([ids[node], ids[some]]), np.concatenate([ids[root], -1 - links[some]]), np.concatenate([np.zeros(len(node), bool), np.ones(len(some), bool)])
 
-    keys = ["label", "d", "at"]
+    keys = ["label", "d", "x", "y"]
     found = store.put(blocks(tiled(rows, keys, F.col("id"), cap), keys, link, counted=True), "found")
     comp = components(found.where("not counted").select("a", "b"), store)
     counts = found.where("counted").groupBy(F.col("a").alias("id")).agg(F.sum(-1 - F.col("b")).alias("n"))

@@ -2,8 +2,10 @@
 
 Each input task inserts its texts into a compressed radix trie and passes on one row for each different text
 (so a text with very many copies reaches its owner once per task). Rows are then dealt by length and content
-hash, and the owner of a partition inserts the full byte strings of each length and hash into a trie: texts
-are equal only if they end at the same terminal node, whatever the hash.
+hash, and the owner of a partition inserts the full byte strings of all its rows into one trie: texts
+are equal only if they end at the same terminal node, whatever the hash. Both tries are bounded: beyond that the
+largest subtree is passed on. The owner's rows come in the order of length and hash, so what its subtrees hold of
+earlier ones is final.
 
 Defined results: null text counts as empty; a null doc_id loses to any other; rows that repeat both id and text
 are copies of which one stays; extra columns travel untouched in ``representatives`` and are ignored elsewhere.
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, batches
 
 #: Bytes of text that one task's trie may hold before its largest subtree is passed on.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 24 << 20
 
 
 class Trie:
@@ -129,38 +131,43 @@ def _local(rows: pa.DataType, schema: pa.Schema, largest: bool, hashed: Callable
     return run
 
 
-def _owners(schema: pa.Schema, largest: bool):
+def _owners(schema: pa.Schema, largest: bool, budget: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, at = Trie(), None
-        out: list = []
+        trie, size, at, digests = Trie(), 0, None, set()
 
-        def emit() -> pa.RecordBatch:
-            done, out[:] = list(out), []
-            return pa.record_batch([pa.array([x[f.name] for x in done], f.type) for f in schema], schema=schema)
-
-        def close() -> None:
-            found = list(values(trie.root))
-            if len({(x["sha"], x["len"]) for x in found}) < len(found):
-                raise ValueError("two different texts of one length share a SHA-256 digest")
-            out.extend(found)
+        def emit(found: list) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(found), 500):
+                part = found[i : i + 500]
+                yield pa.record_batch([pa.array([x[f.name] for x in part], f.type) for f in schema], schema=schema)
 
         for batch in batches(it):
             for x in batch.to_pylist():
                 if at != (x["len"], x["hash"]):
-                    close()
-                    trie, at = Trie(), (x["len"], x["hash"])
-                    if len(out) >= 500:
-                        yield emit()
+                    at, digests = (x["len"], x["hash"]), set()
                 node = trie.node(x["key"])
                 if node[2] is None:
+                    if x["sha"] in digests:
+                        raise ValueError("two different texts of one length share a SHA-256 digest")
+                    digests.add(x["sha"])
                     node[2] = x
+                    trie.count(x["key"])
+                    size += x["len"] + 200
                 else:
                     node[2]["n"] += x["n"]
                     if _better(x["row"], node[2]["row"], largest):
                         node[2]["row"] = x["row"]
-        close()
-        if out:
-            yield emit()
+            while size > budget:
+                out = trie.spill()
+                stay = [x for x in out if (x["len"], x["hash"]) == at]  # more of these may come
+                done = [x for x in out if (x["len"], x["hash"]) != at]
+                for x in stay:
+                    trie.node(x["key"])[2] = x
+                    trie.count(x["key"])
+                size -= sum(x["len"] + 200 for x in done)
+                yield from emit(done)
+                if not done:
+                    break
+        yield from emit(list(values(trie.root)))
 
     return run
 
@@ -178,7 +185,7 @@ def _entries(docs: DataFrame, keep: str, hashed: Callable[[bytes], int], budget:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     local = rows.mapInArrow(_local(a.field("row").type, a, largest, hashed, budget), full)
     dealt = local.repartition("len", "hash").sortWithinPartitions("len", "hash")
-    return dealt.mapInArrow(_owners(b, largest), short)
+    return dealt.mapInArrow(_owners(b, largest, budget), short)
 
 
 def representatives(docs: DataFrame, keep: str = "smallest", hashed: Callable[[bytes], int] = content_hash, budget: int = TRIE_BYTES) -> DataFrame:

@@ -4,7 +4,8 @@ A source's weight is its share of the tokens to the power alpha, normalised. Alp
 reach the target entropy (a share of the largest possible), but no source is repeated more often than the limit. A
 source's budget is realised in blocks: whole passes over its documents, each in an order of its own given by keyed
 hashes, and a last pass cut where the next document would exceed the budget. As a pass is a run in hash order, the cut
-is one threshold for each source, found from sums over hash ranges; no source is gathered in one task.
+is one threshold for each source, found from sums over hash ranges; no source is gathered in one task. A weight depends
+on a source's tokens alone, so it is found on the histogram of these totals; sources themselves stay in tables.
 
 Defined results: null text has no tokens; a null source is a source of its own; sources without tokens are drawn once
 and have weight 0; rows that repeat an id are drawn together; an empty table gives an empty table; other columns are
@@ -14,27 +15,24 @@ not looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_ROWS, Store, as_bytes, batches, numbered
+from .common import BLOCK_ROWS, Store, numbered, running
 
-#: Sources that weights are found for (on the driver, one number for each).
-MOST_SOURCES = 100_000
 
+def entropy(weights: list[float], times: list[int] | None = None) -> float:
+    return -math.fsum(n * w * math.log(w) for w, n in zip(weights, times or [1] * len(weights)) if w > 0)
 
-def entropy(weights: list[float]) -> float:
-    return -math.fsum(w * math.log(w) for w in weights if w > 0)
 
-
-def heated(tokens: list[int], alpha: float) -> list[float]:
-    total = sum(tokens)
+def heated(tokens: list[int], alpha: float, times: list[int] | None = None) -> list[float]:
+    """The weight of one source of each total, of which there are so many."""
+    times = times or [1] * len(tokens)
+    total = sum(t * n for t, n in zip(tokens, times))
     raw = [(t / total) ** alpha if t else 0.0 for t in tokens]
-    whole = math.fsum(raw)
+    whole = math.fsum(x * n for x, n in zip(raw, times))
     return [x / whole for x in raw]
 
 
@@ -45,21 +43,24 @@ class Mix:
     budgets: list[int]
 
 
-def solve(tokens: list[int], budget: int | None, entropy_share: float, most_passes: float, cover: bool = False) -> Mix:
-    """The mix for sources of so many tokens.
+def solve(tokens: list[int], budget: int | None, entropy_share: float, most_passes: float, cover: bool = False, times: list[int] | None = None) -> Mix:
+    """The mix for sources of so many tokens (``times``: how many sources have each of these totals).
 
     budget: tokens to draw, by default as many as there are. cover: draw as many as it takes for every document to be
-    drawn once; the limit on passes then bounds the largest number of passes over the smallest.
+    drawn once; the limit on passes then bounds the largest number of passes over the smallest. Budgets are whole
+    tokens; what rounding leaves goes to the largest remainders, as far as all sources of one total can have it.
     """
-    some = [t for t in tokens if t]
-    if not some:
+    times = times or [1] * len(tokens)
+    many = sum(n for t, n in zip(tokens, times) if t)
+    if not many:
         return Mix(1.0, [0.0] * len(tokens), [0] * len(tokens))
+    all_tokens = sum(t * n for t, n in zip(tokens, times))
 
     def drawn(weights: list[float]) -> float:
-        return max(t / w for t, w in zip(tokens, weights) if t) if cover else float(budget if budget is not None else sum(tokens))
+        return max(t / w for t, w in zip(tokens, weights) if t) if cover else float(budget if budget is not None else all_tokens)
 
     def passes(alpha: float) -> float:
-        weights = heated(tokens, alpha)
+        weights = heated(tokens, alpha, times)
         b = drawn(weights)
         return max(b * w / t for t, w in zip(tokens, weights) if t)
 
@@ -73,37 +74,33 @@ def solve(tokens: list[int], budget: int | None, entropy_share: float, most_pass
             low, high = (low, mid) if ok(mid) else (mid, high)
         return high
 
-    target = entropy_share * math.log(len(some))
-    own = entropy(heated(tokens, 1.0))
+    target = entropy_share * math.log(many)
+    own = entropy(heated(tokens, 1.0, times), times)
     if target <= own:
         warm = 1.0
     else:
-        warm = bisect(lambda a: entropy(heated(tokens, a)) <= target)
+        warm = bisect(lambda a: entropy(heated(tokens, a, times), times) <= target)
     if passes(1.0) > most_passes * (1 + 1e-12):
         raise ValueError(f"the budget takes {passes(1.0):.3f} passes over the sources; the limit is {most_passes}")
     alpha = max(warm, bisect(lambda a: passes(a) <= most_passes * (1 + 1e-12)))
-    weights = heated(tokens, alpha)
+    weights = heated(tokens, alpha, times)
     exact = [w * drawn(weights) for w in weights]
     if cover:
         return Mix(alpha, weights, [max(t, math.floor(x + 1e-6)) for t, x in zip(tokens, exact)])
-    # whole tokens, the largest remainders first
     budgets = [math.floor(x) for x in exact]
-    spare = int(round(sum(exact))) - sum(budgets)
-    for i in sorted(range(len(exact)), key=lambda i: (budgets[i] - exact[i], i))[:spare]:
+    spare = int(round(math.fsum(x * n for x, n in zip(exact, times)))) - sum(b * n for b, n in zip(budgets, times))
+    for i in sorted(range(len(exact)), key=lambda i: (budgets[i] - exact[i], i)):
+        if times[i] > spare:
+            break
         budgets[i] += 1
+        spare -= times[i]
     return Mix(alpha, weights, budgets)
 
 
 def with_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, source, tokens (words between ASCII white space)."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it):
-            n = [len(t.split()) for t in as_bytes(batch.column("text"))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(run, "doc_id long, source string, tokens long")
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.cast("long").alias("tokens"))
 
 
 def _order(seed: int, turn):
@@ -112,38 +109,33 @@ def _order(seed: int, turn):
 
 
 def plan(docs: DataFrame, store: Store, budget: int | None, entropy_share: float, most_passes: float, cover: bool, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, tokens), stored, and for each source: alpha, weight, passes (whole ones) and last (the hash up to which one more is drawn)."""
+    """(doc_id, source, tokens), and for each source: alpha, weight, passes (whole ones) and last (the hash up to which one more is drawn); both stored."""
     spark = docs.sparkSession
     base = store.put(with_tokens(docs), "tokens")
-    totals = base.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources")
-    totals = sorted(totals, key=lambda r: (r.source is not None, r.source or ""))
-    tokens = [r.t for r in totals]
-    mix = solve(tokens, budget, entropy_share, most_passes, cover)
-    rows = [(r.source, mix.alpha, w, *(divmod(b, t) if t else (1, 0))) for r, w, b, t in zip(totals, mix.weights, mix.budgets, tokens)]
-    sources = spark.createDataFrame(rows, "source string, alpha double, weight double, passes long, rest long")
+    totals = store.put(base.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")), "totals")
+    # different totals: fewer than the square root of twice the number of tokens
+    found = sorted((r.t, r.c, r.n) for r in totals.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).collect())
+    mix = solve([t for t, _, _ in found], budget, entropy_share, most_passes, cover, [c for _, c, _ in found])
+    rows = [(t, mix.alpha, w, *(divmod(b, t) if t else (1, 0))) for (t, _, _), w, b in zip(found, mix.weights, mix.budgets)]
+    sources = totals.join(spark.createDataFrame(rows, "t long, alpha double, weight double, passes long, rest long"), "t").drop("t", "n")
+    sources = store.put(sources, "weights")
     # hash ranges of about BLOCK_ROWS documents; their order is the order of the hashes
-    bits = max(0, min(40, math.ceil(math.log2(max(1, sum(r.n for r in totals) / BLOCK_ROWS)))))
-    part = base.join(F.broadcast(sources.select(F.col("source").alias("_s"), "passes", "rest")), F.col("source").eqNullSafe(F.col("_s"))).where("rest > 0")
+    bits = max(0, min(40, math.ceil(math.log2(max(1, sum(n for _, _, n in found) / BLOCK_ROWS)))))
+    part = base.join(sources.select(F.col("source").alias("_s"), "passes", "rest"), F.col("source").eqNullSafe(F.col("_s"))).where("rest > 0")
     part = part.withColumn("_h", _order(seed, F.col("passes"))).withColumn("_b", F.shiftright("_h", 63 - bits) if bits else F.lit(0).cast("long"))
     part = part.withColumn("_k", F.coalesce("source", F.lit(""))).withColumn("_z", F.col("source").isNull())
-    sums = part.groupBy("_k", "_z", "_b").agg(F.sum("tokens").alias("_t"))
-    before = Window.partitionBy("_k", "_z").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_k", "_z", "_b", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    sums = running(part.groupBy("_k", "_z", "_b").agg(F.sum("tokens").alias("_t")), "_t", "_before", "_b", ["_k", "_z"]).drop("_t")
     part = part.join(sums, ["_k", "_z", "_b"])
-    running = F.col("_before") + F.sum("tokens").over(Window.partitionBy("_k", "_z", "_b").orderBy("_h"))
-    inside = part.withColumn("_run", running).where("_run <= rest")
+    inside = part.withColumn("_run", F.col("_before") + F.sum("tokens").over(Window.partitionBy("_k", "_z", "_b").orderBy("_h"))).where("_run <= rest")
     last = inside.groupBy("_k", "_z").agg(F.max("_h").alias("last")).select(F.when(~F.col("_z"), F.col("_k")).alias("_s"), "last")
-    found = last.limit(MOST_SOURCES).collect()
-    ends = {r._s: r.last for r in found}
-    return base, spark.createDataFrame([(*r[:4], ends.get(r[0])) for r in rows], "source string, alpha double, weight double, passes long, last long")
+    ended = sources.join(last, sources["source"].eqNullSafe(last["_s"]), "left").drop("_s", "rest")
+    return base, store.put(ended, "sources")
 
 
 def _copies(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """``rows`` with the source's numbers and ``_copies``; sources are at most MOST_SOURCES rows."""
+    """``rows`` with the source's numbers and ``_copies``."""
     sources = sources.withColumnRenamed("source", "_s")
-    rows = rows.join(F.broadcast(sources), rows["source"].cast("string").eqNullSafe(sources["_s"])).drop("_s")
+    rows = rows.join(sources, rows["source"].cast("string").eqNullSafe(sources["_s"])).drop("_s")
     return rows.withColumn("_copies", F.col("passes") + F.coalesce((_order(seed, F.col("passes")) <= F.col("last")).cast("long"), F.lit(0)))
 
 

@@ -9,9 +9,9 @@ ingested batch, merged by (anchor, group) with a new batch and compacted when th
 A batch is judged in two steps. A group that also occurs in a document with a smaller id is a repeat as a whole.
 Groups that share their anchor but not all their words are compared window by window; there only the first
 document of each different group has to be read, at every place where it has the group, for copies in later documents
-are repeats already. A link needs both the
-anchor hash and the hash of the whole content to agree (128 bits, or 96 for single windows), so the second verifies
-what the first has found.
+are repeats already. What a polynomial hash has found (the anchor's, or a single window's) is verified by a BLAKE2b
+digest of the words themselves, taken over the whole group or window: a link needs both to agree (128 bits, or 96 for
+single windows).
 
 Defined results: null text has no words; rows with a null doc_id keep all words and are no source for others;
 rows that repeat an id are one document for the rule "smaller doc_id" and each is judged on its own text; an empty
@@ -20,6 +20,7 @@ table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, as_bytes, batches, cut, use_only, worker_cache
+from .common import Recent, Store, as_bytes, batches, cut, use_only, worker_cache
 
 WIDTH, GRAM = 50, 10
 _BASE = 0x9E3779B97F4A7C15
@@ -38,19 +39,7 @@ _BACK = pow(_BASE, -1, 1 << 64)
 _LOW = np.uint64((1 << 30) - 1)
 
 
-class _Words(dict):
-    """Hashes of words, forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_WORDS = worker_cache(_Words())
+_WORDS = worker_cache(Recent(xxhash.xxh64_intdigest))
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -74,6 +63,7 @@ class _Text:
 
     def __init__(self, texts: list[bytes]):
         self.words = [t.split() for t in texts]
+        self.joined: bytes | None = None
         sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
         self.start = np.concatenate([[0], np.cumsum(sizes)])
         n = int(self.start[-1])
@@ -90,6 +80,15 @@ class _Text:
         """Of the words from a to before b."""
         return _mix((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64) * np.uint64(_BACK))
 
+    def digests(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """BLAKE2b, 64 bits, of the words themselves from a to before b, one space between them."""
+        if self.joined is None:
+            self.joined = b" ".join([w for ws in self.words for w in ws])
+            self.edge = np.concatenate([[0], np.cumsum(np.fromiter((len(w) + 1 for ws in self.words for w in ws), np.int64, self.size))])
+        view, digest = memoryview(self.joined), hashlib.blake2b
+        out = b"".join([digest(view[x:y], digest_size=8).digest() for x, y in zip(self.edge[a].tolist(), (self.edge[b] - 1).tolist())])
+        return np.frombuffer(out, "<u8")
+
 
 def groups(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Groups of windows: row, first window, number of windows, anchor hash, content hash."""
@@ -113,7 +112,7 @@ def groups(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np
     n = np.diff(np.concatenate([first, [len(valid)]]))
     start = valid[first]
     row = owner[start]
-    return row, start - t.start[row], n, anchors[chosen[start]], t.hashes(start, start + n - 1 + width)
+    return row, start - t.start[row], n, anchors[chosen[start]], t.digests(start, start + n - 1 + width)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -224,10 +223,8 @@ class WindowIndex:
                     s, n = (flat.field(c).to_numpy().astype(np.int64) for c in ("s", "n"))
                     row, s = np.repeat(row, n), np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                     at = t.start[row] + s
-                    w = t.hashes(at, at + width)
-                    # a second view of the same words: their two halves hashed apart
-                    c = t.hashes(at, at + width // 2) ^ (t.hashes(at + width // 2, at + width) >> np.uint64(7))
-                    c = (c >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    w = t.digests(at, at + width)
+                    c = (t.hashes(at, at + width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     for x in range(0, len(at), 100_000):
                         y = slice(x, x + 100_000)
                         cols = [pa.array(ids[lo:hi][row[y]]), pa.array(crc[lo:hi][row[y]]), pa.array(s[y].astype(np.int32)), pa.array(new[lo:hi][row[y]].astype(bool)), _signed(w[y]), pa.array(c[y])]
