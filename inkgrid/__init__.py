@@ -6,7 +6,7 @@ __version__ = "0.1.0"
 
 _WHERE = {
     "Pipeline": "plans.pipeline", "Models": "plans.pipeline", "detect": "plans.pipeline", "classify": "plans.pipeline", "recognize": "plans.pipeline",
-    "Options": "options", "OptionError": "options", "LoadError": "sources.pixels", "decode": "sources.images", "read_files": "sources.images", "from_arrays": "sources.images",
+    "Options": "options", "OptionError": "options", "LoadError": "sources.pixels", "decode": "sources.images", "read_files": "sources.images", "from_arrays": "sources.images", "from_pil": "sources.images", "read_images": "sources.images", "overlays": "sources.drawing", "page_elapse": "operators.results",
     "stream_lines": "streaming", "write_lines": "streaming", "to_json": "operators.layout", "to_markdown": "operators.layout", "register_functions": "functions.register", "register_engine": "sessions",
 }
 

@@ -320,13 +320,6 @@ def ocr_to_json(spark, sf):
     return layout.to_json(df, "img", "i", "box", "txt", "score")
 
 
-@query()
-def ocr_to_markdown(spark, sf):
-    """The line fold depends on order step by step; tests hold it against plain Python."""
-    df = boxes(spark, sf).withColumns({"box": G.rectangle("x0", "y0", "w", "h"), "txt": F.concat(F.lit("t"), F.col("pk").cast("string"))})
-    return layout.to_markdown(df, "img", "box_idx")
-
-
 @query(f"""
 with {BOXES}, g as (select *, x0 - lag(x0 + w) over (partition by img order by x0, {ORDER}) as gap, lag(w) over (partition by img order by x0, {ORDER}) as lw from boxes)
 select img, box_idx, pk, sk, gap, cast(case when gap <= 1 then 0 else least(12, greatest(1, round_even(gap / greatest(1e0, least(lw, w) * 0.5e0), 0))) end as integer) as spaces from g where gap is not null""")
@@ -567,3 +560,5 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["flagship_page_json"] = flagship
+
+from . import catalog_kernels  # noqa: E402, F401 - registers its queries here

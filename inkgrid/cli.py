@@ -22,6 +22,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rec", help="recogniser model (ONNX)")
     p.add_argument("--dict", dest="tokens", help="dictionary file, one token to a line")
     p.add_argument("--format", choices=("lines", "json", "markdown"), default="lines")
+    p.add_argument("--words", action="store_true", help="boxes of words too")
+    p.add_argument("--single-chars", action="store_true", help="boxes of single characters instead of words")
+    p.add_argument("--vis", metavar="FOLDER", help="also write pictures of the pages with their boxes and texts (image_id, PNG content; Parquet)")
     p.add_argument("--out", help="folder for the result (JSON lines); default: print")
     return p
 
@@ -33,6 +36,10 @@ def options_of(args: argparse.Namespace) -> Options:
     values = {k: yaml.safe_load(v) for k, _, v in (x.partition("=") for x in args.set)}
     if args.text_score is not None:
         values["Global.text_score"] = args.text_score
+    if args.words or args.single_chars:
+        values["Global.return_word_box"] = True
+    if args.single_chars:
+        values["Global.return_single_char_box"] = True
     if args.lang_type:
         values["Rec.lang_type"] = args.lang_type
     return options.with_values(values)
@@ -71,13 +78,17 @@ def main(argv: list[str] | None = None) -> int:
     from .operators import layout
     from .plans.pipeline import Models, Pipeline
     from .sessions import engine_factory
+    from .sources.drawing import overlays
     from .sources.images import decode, read_dictionary, read_files
 
     make = lambda task: engine_factory(options[task.capitalize()]["engine_type"], getattr(args, task)) if getattr(args, task) else None
     models = Models(make("det"), make("cls"), make("rec"), tuple(read_dictionary(spark, args.tokens)) if args.tokens else None)
     one = Path(args.images).is_file()
     files = read_files(spark, args.images, Path(args.images).name if one else "*")
-    lines = Pipeline(models, options).transform(decode(files))
+    pages = decode(files)
+    lines = Pipeline(models, options).transform(pages)
+    if args.vis:
+        overlays(pages, lines, "beside", least=options["Global"]["text_score"]).write.mode("overwrite").parquet(args.vis)
     out = {"lines": lambda: lines, "json": lambda: layout.to_json(lines), "markdown": lambda: layout.to_markdown(lines)}[args.format]()
     if args.out:
         out.write.mode("overwrite").json(args.out)

@@ -32,6 +32,12 @@ def select_mask(a, mask) -> Column:
     return F.transform(F.filter(F.arrays_zip(col(a).alias("v"), col(mask).alias("m")), lambda x: x["m"]), lambda x: x["v"])
 
 
+def class_index(vocab) -> Column:
+    """Map from token to class; of a token that occurs again, the first class."""
+    v = col(vocab)
+    return F.map_from_entries(F.transform(F.array_distinct(v), lambda t: F.struct(t, (F.array_position(v, t) - 1).cast("int"))))
+
+
 def differences(a) -> Column:
     """a[i] - a[i-1] from the second element on."""
     a = col(a)

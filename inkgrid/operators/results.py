@@ -40,6 +40,11 @@ def result_kind(box: Column, txt: Column, cls: Column) -> Column:
     return F.when(box.isNotNull() & txt.isNotNull(), "ocr").when(box.isNotNull(), "det").when(txt.isNotNull(), "rec").when(cls.isNotNull(), "cls").otherwise("empty")
 
 
+def colour(index: Column) -> Column:
+    """struct(red, green, blue) of a box: looks random, but is the same in every run."""
+    return F.struct(*(((index * a + b) % 256).alias(c) for c, a, b in (("red", 67, 29), ("green", 131, 71), ("blue", 197, 113))))
+
+
 def can_be_shown(box: Column, txt: Column, score: Column) -> Column:
     return box.isNotNull() & txt.isNotNull() & score.isNotNull()
 
@@ -59,6 +64,13 @@ def stacked_offsets(df: DataFrame, image: str, order: list[str], height: str = "
     return df.withColumns({"offset": F.coalesce(F.sum(height).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "canvas_width": F.max(width).over(Window.partitionBy(image))})
 
 
+def page_elapse(lines: DataFrame, image: str = "image_id") -> DataFrame:
+    """Seconds of each stage and of all stages of an image, from the pipeline's lines; stages that did not run are null and count as nothing."""
+    stages = ["det_elapse", "cls_elapse", "rec_elapse"]
+    pages = lines.groupBy(image).agg(*(F.max(c).alias(c) for c in stages))
+    return pages.withColumn("total_elapse", sum((F.coalesce(F.col(c), F.lit(0.0)) for c in stages), F.lit(0.0)))
+
+
 def total_elapse(df: DataFrame, by: list[str], seconds: str) -> DataFrame:
     """Sum of the stages' times; stages that did not run are null and count as nothing."""
     return df.groupBy(*by).agg(F.sum(seconds).alias("elapse"), F.count(seconds).alias("stages"))

@@ -145,6 +145,10 @@ def upright(a: np.ndarray, orientation: int) -> np.ndarray:
     return np.ascontiguousarray(a)
 
 
+def half_turn(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a[::-1, ::-1])
+
+
 def gray_alpha_to_bgr(a: np.ndarray) -> np.ndarray:
     """Gray where anything shows, plus the complement of alpha, at most 255."""
     gray, alpha = a[:, :, 0].astype(np.int32), a[:, :, 1].astype(np.int32)
