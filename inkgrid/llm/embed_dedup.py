@@ -13,7 +13,8 @@ forest of its links, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a
 label, link with nothing (n_links 0, own component, kept). Vectors of different length do not link. A row with a
-null vec_id links with nothing, has a null component and is kept. Extra columns are ignored.
+null vec_id links with nothing, has a null component and is kept. Rows that repeat a vec_id share its links and its
+component. Extra columns are ignored.
 """
 
 from __future__ import annotations
