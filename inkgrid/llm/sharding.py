@@ -65,7 +65,7 @@ def granted(asked: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tup
     return out
 
 
-def balanced_shards(nodes: DataFrame, links: DataFrame, store: Store, shards: int = 16, rounds: int = 10) -> DataFrame:
+def balanced_shards(nodes: DataFrame, links: DataFrame, store: Store, shards: int = 16, rounds: int = 6) -> DataFrame:
     """``nodes(id, row)`` with distinct ``row`` -> (id, row, shard), counts at most one apart."""
     both = links.where("a is not null and b is not null and a <> b").select("a", "b")
     both = store.put(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -91,8 +91,9 @@ def balanced_shards(nodes: DataFrame, links: DataFrame, store: Store, shards: in
             break
         if still:
             continue
-        limits = spark.createDataFrame([(a, b, c) for (a, b), c in limit.items()], "at int, to int, room long")
-        moves = numbered(moves, "_i", ["a"], ["at", "to"], rows=sum(asked.values())).join(F.broadcast(limits), ["at", "to"]).where("_i < room")
+        if limit != asked:  # else all may go
+            limits = spark.createDataFrame([(a, b, c) for (a, b), c in limit.items()], "at int, to int, room long")
+            moves = numbered(moves, "_i", ["a"], ["at", "to"], rows=sum(asked.values())).join(F.broadcast(limits), ["at", "to"]).where("_i < room")
         moved = base.join(moves.select(F.col("a").alias("_a"), F.col("to").alias("_to")), F.col("id") == F.col("_a"), "left")
         base = store.put(moved.withColumn("shard", F.coalesce("_to", "shard")).select(*base.columns), f"place{k}")
         store.drop(last)
