@@ -14,6 +14,7 @@ from .mixing import draws
 from .near_dedup import simhash_groups
 from .ordering import ordered
 from .packing import packed
+from .resample import resampled
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 
@@ -69,7 +70,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws(table(spark, sf_dir, "documents"), Store(prepare(spark), "op10"), entropy_share=0.9, most_passes=4.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn by likeness to the benchmark's texts."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampled(docs, target, Store(spark, "op11")).drop("n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing, op11_resampling)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -99,4 +106,22 @@ cover as (select doc_id, list_distinct(flatten(list_transform(starts, lambda s:
 kept as (select doc_id, len(w) as n_words, coalesce(len(c), 0) as n_removed,
   case when c is null then w else list_filter(w, lambda x, i: not list_contains(c, i)) end as k from d left join cover using (doc_id))
 select doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
+    "op11_resampling": f"""
+with words as (select doc_id, list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+target as (select list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
+feat as (select doc_id, len(w) as n_words, w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as f from words),
+used as (select unnest(f) as f from feat),
+wanted as (select unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from target),
+-- CRC-32 by half bytes, the low one first
+half as (select list(list_reduce([1, 2, 3, 4], lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, k::bigint) order by k) as t from range(16) as r(k)),
+code as (select f, xor(list_reduce(list_transform(range(0, 2 * octet_length(encode(f))), lambda i: instr('123456789ABCDEF', hex(encode(f))[(i // 2) * 2 + 2 - i % 2])),
+  lambda c, n: xor(c // 16, t[xor(c % 16, n::bigint) + 1]), 4294967295::bigint), 4294967295) % 10000 as bucket from (select distinct f from (from used union all from wanted)), half),
+corpus as (select bucket, count(*) as s from used join code using (f) group by 1), goal as (select bucket, count(*) as t from wanted join code using (f) group by 1),
+sums as (select (select coalesce(sum(s), 0) from corpus) as big, (select coalesce(sum(t), 0) from goal) as small),
+gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (big + 10000)::double / ((s + 1)::double * (small + 10000)::double))) as g from corpus left join goal using (bucket), sums),
+mean as (select doc_id, floor(sum(g) / count(*))::bigint as weight from (select doc_id, unnest(f) as f from feat) join code using (f) join gain using (bucket) group by 1),
+score as (select doc_id, n_words, len(f) as n_features, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::bigint + 0.5::double) / 4294967296)))::bigint as score from feat left join mean using (doc_id)),
+place as (select doc_id, row_number() over (order by score desc, doc_id) as place, 25 * count(*) over () // 100 as n from score where n_words >= 20)
+select doc_id, n_features, weight, score, case when place <= n then place end as rank from score left join place using (doc_id)""",
 }
