@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clusters import clustered
 from .common import Store, prepare, table
 from .exact_dedup import exact_groups
 from .embed_dedup import embedding_groups
@@ -76,7 +77,24 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(docs, target, Store(spark, "op11")).drop("n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing, op11_resampling)}
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"), Store(spark, "op12"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing, op11_resampling, op12_clusters)}
+
+
+def _rounds(n: int) -> str:
+    """SQL of so many rounds of k-means: tables at{i} (vec_id, cluster, distance, v) and c{i} (k, c)."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""at{i} as materialized (select vec_id, v, arg_min(k, d * 100 + k) as cluster, min(d) as distance from (
+  select vec_id, v, k, list_sum(list_transform(range(1, 65), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::bigint as d from v, c{i}) group by vec_id, v)""")
+        if i < n:
+            parts.append(f"""m{i} as (select cluster, list(m order by j) as c from (select cluster, j, floor(sum(x) / count(*))::bigint as m from (select cluster, unnest(v) as x, unnest(range(64)) as j from at{i}) group by 1, 2) group by 1),
+c{i + 1} as materialized (select k, coalesce(m{i}.c, c{i}.c) as c from c{i} left join m{i} on cluster = k)""")
+    return ",\n".join(parts)
+
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -124,4 +142,11 @@ score as (select doc_id, n_words, len(f) as n_features, coalesce(weight, 0) as w
   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::bigint + 0.5::double) / 4294967296)))::bigint as score from feat left join mean using (doc_id)),
 place as (select doc_id, row_number() over (order by score desc, doc_id) as place, 25 * count(*) over () // 100 as n from score where n_words >= 20)
 select doc_id, n_features, weight, score, case when place <= n then place end as rank from score left join place using (doc_id)""",
+    "op12_clusters": f"""
+with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select row_number() over (order by sha256('1:' || vec_id)) - 1 as k, v as c from v order by sha256('1:' || vec_id) limit 16),
+{_rounds(3)}
+select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256 from at3 join c3 on k = cluster""",
 }
