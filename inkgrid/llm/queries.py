@@ -10,6 +10,7 @@ from .common import Store, prepare, table
 from .exact_dedup import exact_groups
 from .embed_dedup import embedding_groups
 from .lang_id import language_groups
+from .licenses import BASE, NOTICES, labelled
 from .lm_score import scored
 from .mixing import draws
 from .near_dedup import simhash_groups
@@ -81,7 +82,11 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings"), Store(spark, "op12"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing, op11_resampling, op12_clusters)}
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_exact_dedup, op3_sharding, op4_training_order, op5_language, op6_packing, op7_embeddings, op8_simhash, op9_substrings, op10_mixing, op11_resampling, op12_clusters, op13_licenses)}
 
 
 def _rounds(n: int) -> str:
@@ -96,6 +101,16 @@ c{i + 1} as materialized (select k, coalesce(m{i}.c, c{i}.c) as c from c{i} left
     return ",\n".join(parts)
 
 
+def _templates() -> str:
+    """SQL rows of all key phrases: template, label, phrase, place, head (the first one's place), words, notice."""
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    rows = []
+    for t, template in enumerate([*BASE, *NOTICES]):
+        keys = template.keys()
+        rows += [f"({t}, '{template.label}', {k}, {at}, {keys[0][0]}, {quoted(phrase)}, {quoted(template.words())})" for k, (at, phrase) in enumerate(keys)]
+    return ",\n".join(rows)
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -149,4 +164,21 @@ c0 as materialized (select row_number() over (order by sha256('1:' || vec_id)) -
 {_rounds(3)}
 select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
   (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256 from at3 join c3 on k = cluster""",
+    "op13_licenses": f"""
+with phrase(template, label, k, place, head, words, notice) as (values {_templates()}),
+d as materialized (select doc_id, list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+word as materialized (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from d),
+run as (select *, list(word) over (partition by doc_id order by i rows between current row and 15 following) as run from word),
+hit as materialized (select doc_id, i, template, k, label, place, head, notice from run join phrase on word = words[1] and run[1:len(words)] = words),
+many as (select template, count(*) as n from phrase group by 1),
+whole as (select a.doc_id, a.template, a.label, a.i, a.head, a.notice from hit a join many m on a.template = m.template left join hit b
+    on a.doc_id = b.doc_id and a.template = b.template and b.k > 0 and abs(b.i - (a.i + b.place - a.head)) <= 8
+  where a.k = 0 group by a.doc_id, a.template, a.label, a.i, a.head, a.notice, m.n having count(distinct b.k) = m.n - 1),
+spot as (select *, i - head + unnest(range(len(notice))) as spot, unnest(notice) as want from whole),
+share as (select s.doc_id, template, label, s.i, count(word) / len(notice) as share from spot s left join word on word.doc_id = s.doc_id and word.i = spot and word = want
+  group by s.doc_id, template, label, s.i, notice),
+found as (select doc_id, count(*) filter (template < {len(BASE)}) as n_base, min(i) filter (template < {len(BASE)}) as first_word, max(i) filter (template < {len(BASE)}) as last_word,
+  string_agg(distinct label, ',' order by label) filter (template < {len(BASE)}) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from share group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  coalesce(score, 0)::double as score from d left join found using (doc_id)""",
 }
