@@ -543,10 +543,35 @@ def corpus_text_stats(spark, sf):
 # -- whole pipeline ------------------------------------------------------------------------------
 
 
-@query()
+@query(r"""
+with line as (select k, i, 12 + (k * 7 + i * 31) % 60 as x, 10 + 36 * i as y, 90 + (k * 13 + i * 17) % 120 as w
+  from (select p_partkey as k, unnest(range(0, 2 + p_partkey % 3)) as i from part)),
+-- the page is enlarged 4.6 times; a pixel is dark where the weights of its dark neighbours multiply to over a half
+far as (select *, ceil(4.6e0 * x - 0.5e0)::bigint as j0, floor(4.6e0 * (x + w) - 0.5e0)::bigint as j1, ceil(4.6e0 * y - 0.5e0)::bigint as i0, floor(4.6e0 * (y + 18) - 0.5e0)::bigint as i1 from line),
+edge as (select *, list_transform(list_concat(range(j0, j0 + 5), range(j1 - 4, j1 + 1)), lambda j: {'p': (j + 0.5e0) * 320 / 1472 - 0.5e0, 'a': x, 'n': w}) as ex,
+  list_transform(list_concat(range(i0, i0 + 5), range(i1 - 4, i1 + 1)), lambda j: {'p': (j + 0.5e0) * 160 / 736 - 0.5e0, 'a': y, 'n': 18::bigint}) as ey from far),
+dark as (select *, list_transform(ex, lambda e: case when floor(e.p) between e.a and e.a + e.n - 1 then 2048 - round_even((e.p - floor(e.p)) * 2048, 0) else 0 end + case when floor(e.p) + 1 between e.a and e.a + e.n - 1 then round_even((e.p - floor(e.p)) * 2048, 0) else 0 end) as sx,
+  list_transform(ey, lambda e: case when floor(e.p) between e.a and e.a + e.n - 1 then 2048 - round_even((e.p - floor(e.p)) * 2048, 0) else 0 end + case when floor(e.p) + 1 between e.a and e.a + e.n - 1 then round_even((e.p - floor(e.p)) * 2048, 0) else 0 end) as sy from edge),
+lost as (select *, list_sum(list_transform(sx, lambda a: len(list_filter(sy, lambda b: a * b <= 2097152))))::bigint as lost, j1 + 1 - j0 as bw, i1 + 1 - i0 as bh from dark),
+box as (select *, ((bw * bh - lost)::double / ((bw + 1) * (bh + 1)))::float::double as det_score, bw * bh * 1.6e0 / (2 * (bw + bh)) as d from lost),
+page as (select k, i, x, y, w, det_score, greatest(0, least(319, round_even((j0 - d) / 1472 * 320, 0)))::bigint as x0, greatest(0, least(319, round_even((j0 + bw + d) / 1472 * 320, 0)))::bigint as x1,
+  greatest(0, least(159, round_even((i0 - d) / 736 * 160, 0)))::bigint as y0, greatest(0, least(159, round_even((i0 + bh + d) / 736 * 160, 0)))::bigint as y1 from box),
+-- the crop is brought to a height of 48 and read by the ink of every eight columns
+crop as (select *, x1 - x0 as cw, y1 - y0 as ch, least(320, ceil(48e0 * (x1 - x0) / (y1 - y0)))::bigint as wide from page),
+rows_ as (select *, list_transform(list_transform(range(0, 48), lambda r: (r + 0.5e0) * ch / 48 - 0.5e0), lambda p: case when greatest(0, floor(p)) between y - y0 and y - y0 + 17 then 2048 - case when p < 0 then 0 else round_even((p - floor(p)) * 2048, 0) end else 0 end
+    + case when least(ch - 1, floor(p) + 1) between y - y0 and y - y0 + 17 then case when p < 0 then 0 else round_even((p - floor(p)) * 2048, 0) end else 0 end) as sy from crop),
+cols as (select *, list_transform(list_transform(range(0, wide), lambda r: (r + 0.5e0) * cw / wide - 0.5e0), lambda p: case when greatest(0, floor(p)) between x - x0 and x - x0 + w - 1 then 2048 - case when p < 0 then 0 else round_even((p - floor(p)) * 2048, 0) end else 0 end
+    + case when least(cw - 1, floor(p) + 1) between x - x0 and x - x0 + w - 1 then case when p < 0 then 0 else round_even((p - floor(p)) * 2048, 0) end else 0 end) as sx from rows_),
+ink as (select *, list_transform(sx, lambda a: len(list_filter(sy, lambda b: a * b > 2097152))) as n from cols),
+step as (select *, list_transform(range(0, 40), lambda s: coalesce(list_sum(n[s * 8 + 1 : s * 8 + 8]), 0) / 384e0) as ink from ink),
+class as (select *, list_transform(ink, lambda v: case when v > 0.02e0 then least(floor(v * 5), 4)::bigint + 1 else 0 end) as c from step)
+select cast(k as varchar) as image_id, i::int as box_idx, x0, y0, x1, y1, det_score, '0' as cls_label,
+  array_to_string(list_transform(list_filter(range(1, 41), lambda s: c[s] > 0 and (s = 1 or c[s] <> c[s - 1])), lambda s: 'abcd '[c[s]]), '') as txt, 1e0 as rec_score from class""")
 def stub_pipeline(spark, sf):
-    """Synthetic pages (one for each part) through the pipeline with model doubles; tests hold the lines against what was drawn."""
-    return corpus.synthetic_lines(table(spark, sf, "part").select("p_partkey"))
+    """Synthetic pages (one for each part) through the pipeline with model doubles, against the arithmetic of what was drawn."""
+    lines = corpus.synthetic_lines(table(spark, sf, "part").select("p_partkey"))
+    at = lambda k, axis: F.get("box", F.lit(k))[axis].cast("long")
+    return lines.select("image_id", "box_idx", at(0, "x").alias("x0"), at(0, "y").alias("y0"), at(2, "x").alias("x1"), at(2, "y").alias("y1"), "det_score", "cls_label", "txt", "rec_score")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

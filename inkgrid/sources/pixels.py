@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -190,16 +191,54 @@ def to_bgr(a: np.ndarray, rgb: bool = True) -> np.ndarray:
     raise LoadError(f"{n} channels")
 
 
+#: Weights of the two neighbours are whole parts of this; rows of a result made at once.
+WHOLE, ROWS = 2048, 32
+
+
+@lru_cache(256)
+def _neighbours(old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each new place, the two old places around it and their weights (pixel centres aligned, edges repeated)."""
+    at = (np.arange(new) + 0.5) * old / new - 0.5
+    low = np.floor(at).astype(np.intp)
+    share = np.rint((at - low) * WHOLE).astype(np.int32)
+    first, second = np.clip(low, 0, old - 1), np.clip(low + 1, 0, old - 1)
+    share[low < 0] = 0
+    return first, second, WHOLE - share, share
+
+
 def resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
-    y, x = (np.arange(h) + 0.5) * a.shape[0] / h - 0.5, (np.arange(w) + 0.5) * a.shape[1] / w - 0.5
-    y0, x0 = np.clip(np.floor(y).astype(int), 0, a.shape[0] - 1), np.clip(np.floor(x).astype(int), 0, a.shape[1] - 1)
-    y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
-    fy, fx = np.clip(y - y0, 0, 1)[:, None, None], np.clip(x - x0, 0, 1)[None, :, None]
-    p = a.astype(np.float64).reshape(*a.shape[:2], -1)
-    top = p[y0][:, x0] * (1 - fx) + p[y0][:, x1] * fx
-    low = p[y1][:, x0] * (1 - fx) + p[y1][:, x1] * fx
-    return np.clip(np.rint(top * (1 - fy) + low * fy), 0, 255).astype(np.uint8).reshape(h, w, *a.shape[2:])
+    """Bilinear in whole numbers, first along the rows, then along the columns; weights are kept by size."""
+    if (h, w) == a.shape[:2]:
+        return a
+    x0, x1, wx0, wx1 = _neighbours(a.shape[1], w)
+    y0, y1, wy0, wy1 = _neighbours(a.shape[0], h)
+    p = a.reshape(*a.shape[:2], -1)
+    used = np.unique(np.concatenate([y0, y1]))  # a smaller result does not need all rows
+    rows = p[used[:, None], x0].astype(np.int32)
+    rows *= wx0[:, None]
+    rows += p[used[:, None], x1] * wx1[:, None]
+    rows = rows.reshape(len(used), -1)
+    y0, y1 = np.searchsorted(used, y0), np.searchsorted(used, y1)
+    out = np.empty((h, rows.shape[1]), np.uint8)
+    for i in range(0, h, ROWS):
+        part = slice(i, i + ROWS)
+        top, low = rows[y0[part]], rows[y1[part]]
+        top *= wy0[part, None]
+        low *= wy1[part, None]
+        top += low
+        top += WHOLE * WHOLE // 2
+        top //= WHOLE * WHOLE
+        out[part] = top
+    return out.reshape(h, w, *a.shape[2:])
+
+
+def planes(a: np.ndarray, mean: tuple[float, ...], std: tuple[float, ...]) -> np.ndarray:
+    """Channels first, (value / 255 - mean) / std of each channel, with a batch dimension; every value is looked up."""
+    out = np.empty((1, a.shape[2], *a.shape[:2]), np.float32)
+    steps = np.arange(256, dtype=np.float32) / 255
+    for c in range(a.shape[2]):
+        np.take(((steps - np.float32(mean[c])) / np.float32(std[c])).astype(np.float32), a[:, :, c], out=out[0, c])
+    return out
 
 
 def normalize(a: np.ndarray, mean: float = 0.5, std: float = 0.5) -> np.ndarray:
