@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .jpeg import JpegError, decode_jpeg
+
 
 class LoadError(ValueError):
     """An input that is no image of a known kind."""
@@ -74,6 +76,18 @@ def decode_png(data: bytes) -> np.ndarray:
     return out[:, :, 0] if out.shape[2] == 1 else out
 
 
+def decode_picture(data: bytes) -> np.ndarray:
+    """Pixels of a PNG or a baseline JPEG, told apart by their first bytes."""
+    if data[:2] == b"\xff\xd8":
+        try:
+            return decode_jpeg(data)
+        except JpegError as e:
+            raise LoadError(str(e)) from e
+    if data[:4] != b"\x89PNG":
+        raise LoadError("neither PNG nor JPEG")
+    return decode_png(data)
+
+
 def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
     h, n = raw.shape[0], raw.shape[1] - 1
     out = np.zeros((h, n), np.uint8)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
-from pathlib import PurePosixPath
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -18,17 +18,10 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
     if re.match(r"^file:/(?!//)", path):  # as Hadoop writes it
         return fs.LocalFileSystem(), path.removeprefix("file:")
     if "://" not in path:
-        path = str(PurePosixPath("/") / path) if path.startswith("/") else fs_path(path)
-        return fs.LocalFileSystem(), path
+        return fs.LocalFileSystem(), os.path.abspath(path)
     return fs.FileSystem.from_uri(path)
 
 
-def fs_path(path: str) -> str:
-    import os
-
-    return os.path.abspath(path)
-
-
 def prefix_of(path: str) -> str:
     """What stands before a path of the store in the name that Spark gives its files."""
     scheme = re.match(r"^([a-z0-9+.-]+)://([^/]*)", path)
