@@ -15,8 +15,10 @@ Spark's own readers can open is read by ``decode(read_files(...))``.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,7 +71,7 @@ class Pictures(DataSource):
         return PictureReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return PictureWriter(dict(self.options), schema.names, overwrite)
+        return PictureWriter(dict(self.options), schema.names, overwrite).begun()
 
 
 @dataclass
@@ -166,6 +168,12 @@ class PictureWriter(DataSourceArrowWriter):
         parent, _, name = self.path.rpartition("/")
         self.staging, self.old = f"{parent}/.{name}-{job}", f"{parent}/.{name}-{job}-old"
 
+    def begun(self) -> PictureWriter:
+        """Make the job's folder: tasks make theirs only inside it, so none comes back once the job is given up."""
+        store, staging = store_of(self.staging)
+        store.create_dir(staging, recursive=True)
+        return self
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         part = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}"
         store, folder = store_of(f"{self.staging}/{part}")
@@ -179,7 +187,7 @@ class PictureWriter(DataSourceArrowWriter):
                 if self.column == "image":
                     data = pixels.encode_png(array_of(data)[:, :, ::-1])
                 if not files:
-                    store.create_dir(folder, recursive=True)
+                    store.create_dir(folder, recursive=False)
                 with store.open_output_stream(f"{folder}/{self._name(key.as_py(), used)}") as out:
                     out.write(data)
                 files += 1
@@ -213,8 +221,12 @@ class PictureWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, staging = store_of(self.staging)
-        if store.get_file_info(staging).type != fs.FileType.NotFound:
-            store.delete_dir(staging)
+        for wait in (0.0, 0.1, 0.5, 2.0):  # tasks that still write may hold a folder for a moment
+            time.sleep(wait)
+            if store.get_file_info(staging).type == fs.FileType.NotFound:
+                return
+            with contextlib.suppress(OSError):
+                store.delete_dir(staging)
 
 
 def register_sources(spark: SparkSession) -> None:
