@@ -586,4 +586,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["flagship_page_json"] = flagship
 
-from . import catalog_kernels  # noqa: E402, F401 - registers its queries here
+from . import catalog_files, catalog_kernels  # noqa: E402, F401 - they register their queries here

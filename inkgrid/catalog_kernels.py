@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import BOXES, KEY, ORDER, PIX, REG, SAMPLE, TIES, VOCAB, _pixels, _values, boxes, query, table
+from .catalog_rows import _joined, _square, by_row
 from .functions import arrays as A
 from .functions import geometry as G
 from .functions import text as X
@@ -20,25 +17,6 @@ from .options import Options
 from .sources import images, pixels
 
 
-def by_row(df: DataFrame, schema: str, kernel: Callable[..., tuple]) -> DataFrame:
-    """The key and what a NumPy kernel makes of the other columns, batch by batch."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(r[0], *kernel(*r[1:])) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return df.mapInPandas(run, schema)
-
-
-def _square(v, *shape: int) -> np.ndarray:
-    return np.asarray(v, np.uint8)[: int(np.prod(shape))].reshape(shape)
-
-
-def _joined(a: np.ndarray) -> str:
-    return ",".join(map(str, a.ravel().tolist()))
-
-
 # -- pixels --------------------------------------------------------------------------------------
 
 
