@@ -496,14 +496,14 @@ def _langs(spark, model_type):
     return registry.routes(spark).where((F.col("model_type") == model_type) & (F.col("task") == "rec")).select("lang")
 
 
-@query(f"with {ROUTE} select lang from rt where model_type = 'tiny' union select lang from rt where model_type = 'small' order by lang")
+@query(f"with {ROUTE} select lang from rt where model_type = 'tiny' union select lang from documents order by lang")
 def lang_sets_union(spark, sf):
-    return _langs(spark, "tiny").union(_langs(spark, "small")).distinct().orderBy("lang")
+    return _langs(spark, "tiny").union(table(spark, sf, "documents").select("lang")).distinct().orderBy("lang")
 
 
-@query(f"with {ROUTE} select lang from rt where model_type = 'small' except select lang from rt where model_type = 'tiny'")
+@query(f"with {ROUTE} select lang from rt where model_type = 'small' except select lang from documents")
 def lang_sets_except(spark, sf):
-    return _langs(spark, "small").exceptAll(_langs(spark, "tiny"))
+    return _langs(spark, "small").exceptAll(table(spark, sf, "documents").select("lang").distinct())
 
 
 @query(f"with {ROUTE} select lang from rt where model_type = 'medium' intersect select lang from documents")
@@ -574,6 +574,17 @@ def stub_pipeline(spark, sf):
     return lines.select("image_id", "box_idx", at(0, "x").alias("x0"), at(0, "y").alias("y0"), at(2, "x").alias("x1"), at(2, "y").alias("y1"), "det_score", "cls_label", "txt", "rec_score")
 
 
+@query(f"""
+with {BOXES}, {PATH}, a as (select *, case when y0 - lag(y0) over (partition by img order by y0, {ORDER}) >= 10 then 1 else 0 end as n from boxes),
+b as (select *, sum(n) over (partition by img order by y0, {ORDER} rows unbounded preceding) as line_id from a),
+c as (select *, row_number() over (partition by img order by line_id, x0, y0, {ORDER}) - 1 as rank from b),
+t as (select vec_id, coalesce(array_to_string(list_transform(steps, lambda t: (['blank', 'a', 'b', ' '])[idx[t] + 1]), ''), '') as txt from k),
+j as (select c.*, txt from c join t on vec_id = (pk * 31 + box_idx) % (select count(*) from embeddings) where score >= 0.5e0 and trim(txt) <> '')
+select img, '[' || string_agg('{{"box":[[' || x0 || ',' || y0 || '],[' || (x0 + w) || ',' || y0 || '],[' || (x0 + w) || ',' || (y0 + h) || '],[' || x0 || ',' || (y0 + h) || ']],"txt":"' || txt || '","score":' || score || '}}', ',' order by rank) || ']' as json, null::varchar as warning from j group by img""")
+def flagship_page_json(spark, sf):
+    return flagship(spark, sf)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes in reading order and batches, decoded text, score filter, one JSON per image."""
     b = ordering.aspect_batches(ordering.reading_order(boxes(spark, sf), "img", ties=TIES), F.col("w").cast("double") / F.col("h"), "img", TIES)
@@ -584,6 +595,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return layout.to_json(b, "img", "reading_rank", "box", "txt", "score")
 
 
-QUERIES["flagship_page_json"] = flagship
-
 from . import catalog_files, catalog_kernels  # noqa: E402, F401 - they register their queries here

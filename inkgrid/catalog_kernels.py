@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from .catalog import BOXES, KEY, ORDER, PIX, REG, SAMPLE, TIES, VOCAB, _pixels, _values, boxes, query, table
+from .catalog import BOXES, KEY, ORDER, PIX, REG, REQ, SAMPLE, TIES, VOCAB, _pixels, _requests, boxes, query, table
 from .catalog_rows import _joined, _square, by_row
 from .functions import arrays as A
 from .functions import geometry as G
@@ -13,7 +13,7 @@ from .functions import text as X
 from .functions.bidi import displayed
 from .functions.register import register_functions
 from .operators import detection, layout, recognition, registry, results
-from .options import Options
+from .options import OptionError, Options
 from .sources import images, pixels
 
 
@@ -28,18 +28,15 @@ def gray_alpha_kernel(spark, sf):
 @query(f"""
 with {PIX}, q as (select vec_id, v, list_filter(list_transform(range(0, 16), lambda i: {{'l': 299 * v[i*4+1] + 587 * v[i*4+2] + 114 * v[i*4+3], 'a': v[i*4+4]}}), lambda p: p.a > 0) as p from px),
 g as (select vec_id, v, case when len(p) = 0 or list_sum(list_transform(p, lambda x: x.l)) < 128000 * len(p) then 255 else 0 end as ground from q)
-select vec_id, ground, array_to_string(list_transform(range(0, 48), lambda i: floor(round((v[i // 3 * 4 + 3 - i % 3] * v[i // 3 * 4 + 4] + ground * (255 - v[i // 3 * 4 + 4])) / 255e0, 3))::integer), ',') as flat from g
-where list_min(list_transform(range(0, 48), lambda i: (v[i // 3 * 4 + 3 - i % 3] * v[i // 3 * 4 + 4] + ground * (255 - v[i // 3 * 4 + 4])) % 255)) > 0""")
+select vec_id, ground, array_to_string(list_transform(range(0, 48), lambda i: floor(v[i // 3 * 4 + 3 - i % 3]::float * (v[i // 3 * 4 + 4]::float / 255::float) + ground::float * (1::float - v[i // 3 * 4 + 4]::float / 255::float))::integer), ',') as flat from g""")
 def rgba_kernel(spark, sf):
-    """Blending; images with a channel that comes out whole are left out, for single precision may end just below it."""
+    """Blending of all images, in single precision on both sides."""
 
     def kernel(v):
         a = _square(v, 4, 4, 4)
-        ground, b = pixels.background(a), a.astype(int)
-        whole = (b[:, :, :3] * b[:, :, 3:] + ground * (255 - b[:, :, 3:])) % 255 == 0
-        return ground, None if whole.any() else _joined(pixels.to_bgr(a))
+        return pixels.background(a), _joined(pixels.to_bgr(a))
 
-    return by_row(_pixels(spark, sf), "vec_id long, ground int, flat string", kernel).where("flat is not null")
+    return by_row(_pixels(spark, sf), "vec_id long, ground int, flat string", kernel)
 
 
 @query(f"""with {PIX} select vec_id, array_to_string(list_transform(range(0, 48), lambda i: round_even((v[i % 16 * 3 + i // 16 + 1] / 255e0 - 0.5e0) / 0.5e0 * 1e4, 0)::integer), ',') as flat from px""")
@@ -57,12 +54,12 @@ def exif_orientations(spark, sf):
     return by_row(df.select("vec_id", "o", "v"), "vec_id long, orientation long, flat string", lambda o, v: (o, _joined(pixels.upright(_square(v, 8, 8), o))))
 
 
-@query(f"""with {PIX} select cast(vec_id as varchar) as image_id, cast(list_sum(v) * 3 as bigint) as light, 8 as height, 8 as width, array_to_string(list_transform(range(0, 24), lambda i: v[i // 3 + 1]), ',') as first_row from px""")
+@query(f"""with {PIX} select cast(vec_id as varchar) as image_id, cast(list_sum(v) * 3 as bigint) as light, 8 as height, 8 as width, array_to_string(list_transform(range(0, 192), lambda i: v[i // 3 + 1]), ',') as flat from px""")
 def png_round_trip(spark, sf):
     """Gray squares encoded, decoded as files are and brought to BGR."""
     files = by_row(_pixels(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(_square(v, 8, 8)),))
     df = images.decode(files).select("image_id", "image")
-    out = by_row(df, "image_id string, light long, height int, width int, first_row string", lambda x: (int(images.array_of(x).sum()), x["height"], x["width"], _joined(images.array_of(x)[0])))
+    out = by_row(df, "image_id string, light long, height int, width int, flat string", lambda x: (int(images.array_of(x).sum()), x["height"], x["width"], _joined(images.array_of(x))))
     return out
 
 
@@ -224,11 +221,11 @@ def result_kinds(spark, sf):
     return df.select(*KEY, results.result_kind(F.col("b"), F.col("t"), F.col("c")).alias("kind"), results.can_be_shown(F.col("b"), F.col("t"), F.col("s")).alias("shown"), label.alias("cls_label"), results.colour(F.col("box_idx"))["red"].alias("red"))
 
 
-_WORDS = """wd as (select doc_id, k, w[k] as txt from (select doc_id, w, unnest(range(1, least(len(w), 6) + 1)) as k from (select doc_id, list_filter(string_split_regex(text, '[\\x09-\\x0d\\x20]+'), lambda x: x <> '') as w from documents)))"""
+_WORDS = """wd as (select doc_id, k, w[k] as txt from (select doc_id, w, unnest(range(1, len(w) + 1)) as k from (select doc_id, list_filter(string_split_regex(text, '[\\x09-\\x0d\\x20]+'), lambda x: x <> '') as w from documents)))"""
 
 
 def _words(spark, sf):
-    w = F.slice(F.filter(F.split("text", r"[\x09-\x0d\x20]+"), lambda x: x != ""), 1, 6)
+    w = F.filter(F.split("text", r"[\x09-\x0d\x20]+"), lambda x: x != "")
     box = lambda x: F.when(F.length(x) % 3 > 0, F.array(G.point(F.lit(0.0), F.length(x).cast("double"))))
     word = lambda x: F.struct(F.when(F.length(x) % 5 > 0, x).alias("txt"), F.lit(0.5).alias("conf"), box(x).alias("box"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), F.lit(0).alias("box_idx"), F.transform(w, word).alias("words"))
@@ -248,11 +245,14 @@ def flat_words(spark, sf):
 # -- recognition ---------------------------------------------------------------------------------
 
 
-@query("""with t as (select doc_id, text[1] as ch, doc_id % 6 as c from documents) select doc_id, cast(least(c, case when ch = 'A' then 3 else 2 end) as integer) as gap from t""")
+@query("""
+with l as (select doc_id, unnest(range(len(ls))) as ln, ls from (select doc_id, string_split(text, chr(10)) as ls from documents)), t as (select doc_id, ln, ls[ln + 1] as line, (doc_id + ln) % 6 as c from l)
+select doc_id, ln::int as ln, cast(least(c, case when line[1] = 'A' then 3 else 2 end) as integer) as gap from t where line <> ''""")
 def first_gaps(spark, sf):
-    """Capital A stands in for CJK."""
-    ch = F.translate(F.substring("text", 1, 1), "A", "文")
-    return table(spark, sf, "documents").select("doc_id", recognition.first_gap((F.col("doc_id") % 6).cast("int"), ch).alias("gap"))
+    """The gap before every line; capital A stands in for CJK."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where("line <> ''")
+    ch = F.translate(F.substring("line", 1, 1), "A", "文")
+    return lines.select("doc_id", "ln", recognition.first_gap(((F.col("doc_id") + F.col("ln")) % 6).cast("int"), ch).alias("gap"))
 
 
 @query("select 0 as class, 'blank' as token union all select r_regionkey + 1, r_name from region union all select count(*) + 1, ' ' from region")
@@ -266,17 +266,17 @@ RTL_FROM, RTL_TO = "abcdefghij", "אבגדהוזחטי"
 
 
 @query(f"""
-with w as (select doc_id, substr(regexp_replace(lower(text), '[^a-j]', '', 'g'), 1, 20) as w from documents) select doc_id, translate(reverse(w), '{RTL_FROM}', '{RTL_TO}') as shown from w""")
+with w as (select doc_id, regexp_replace(lower(text), '[^a-j]', '', 'g') as w from documents) select doc_id, translate(reverse(w), '{RTL_FROM}', '{RTL_TO}') as shown from w""")
 def right_to_left(spark, sf):
-    w = F.substring(F.regexp_replace(F.lower("text"), "[^a-j]", ""), 1, 20)
+    w = F.regexp_replace(F.lower("text"), "[^a-j]", "")
     return table(spark, sf, "documents").select("doc_id", displayed(F.translate(w, RTL_FROM, RTL_TO)).alias("shown"))
 
 
 @query(f"""
-with c as (select doc_id, string_split(translate(substr(text, 1, 12), 'bcdefghijklmnopqrstuvwxyz', 'bbbbbbbbbbbbbbbbbbbbbbbbb'), '') as cs from documents)
+with c as (select doc_id, string_split(translate(text, 'bcdefghijklmnopqrstuvwxyz', 'bbbbbbbbbbbbbbbbbbbbbbbbb'), '') as cs from documents)
 select doc_id, array_to_string(list_transform(cs, lambda x: coalesce(list_position([{", ".join(f"'{t}'" for t in VOCAB)}], x) - 1, -1)), ',') as classes from c""")
 def character_classes(spark, sf):
-    cs = X.chars(F.translate(F.substring("text", 1, 12), "bcdefghijklmnopqrstuvwxyz", "b" * 25))
+    cs = X.chars(F.translate("text", "bcdefghijklmnopqrstuvwxyz", "b" * 25))
     index = A.class_index(F.array(*map(F.lit, VOCAB)))
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(cs, lambda c: F.coalesce(F.try_element_at(index, c), F.lit(-1)).cast("string")), ",").alias("classes"))
 
@@ -308,27 +308,35 @@ def sql_functions(spark, sf):
 
 # -- options and catalogs ------------------------------------------------------------------------
 
-_CHANGED = {"Det.thresh": 0.4, "Det.box_thresh": 0.6, "Global.text_score": 0.7, "Rec.rec_batch_num": 9}
-_ASKED = ["Det.thresh", "Det.box_thresh", "Det.unclip_ratio", "Det.max_candidates", "Global.text_score", "Global.min_height", "Global.width_height_ratio", "Cls.cls_batch_num", "Cls.cls_thresh", "Rec.rec_batch_num"]
-
-
 @query("""
-select * from (values ('Det.thresh', 0.3e0, 0.4e0), ('Det.box_thresh', 0.5e0, 0.6e0), ('Det.unclip_ratio', 1.6e0, 1.6e0), ('Det.max_candidates', 1000e0, 1000e0), ('Global.text_score', 0.5e0, 0.7e0),
-  ('Global.min_height', 30e0, 30e0), ('Global.width_height_ratio', 8e0, 8e0), ('Cls.cls_batch_num', 6e0, 6e0), ('Cls.cls_thresh', 0.9e0, 0.9e0), ('Rec.rec_batch_num', 6e0, 9e0)) as t(name, by_default, merged)""")
+select doc_id, case when doc_id % 3 = 0 then (doc_id % 10) / 10e0 else 0.3e0 end as thresh, case when doc_id % 2 = 0 then (doc_id % 7) / 7e0 else 0.5e0 end as text_score, case when doc_id % 5 = 0 then (doc_id % 11)::int + 1 else 6 end as batch,
+  case when lang in ('en', 'latin') then lang else 'ch' end as lang_type, 1.6e0 as unclip_ratio, case when doc_id % 13 = 0 then 'OptionError' when doc_id % 17 = 0 then 'TypeError' end as refused from documents""")
 def merged_options(spark, sf):
-    """Defaults, and what dotted overrides and a saved and reloaded tree make of them."""
-    plain, merged = Options(), Options().with_values(_CHANGED)
-    again = Options({k: merged[k] for k in merged}).flat()
-    return spark.createDataFrame([(k, float(plain.flat()[k]), float(again[k])) for k in _ASKED], "name string, by_default double, merged double")
+    """For every document: defaults, a saved and reloaded tree, dotted overrides on it; unknown names and values are refused."""
+
+    def merged(k, lang):
+        tree = Options().with_values({"Rec.lang_type": lang} if lang in ("en", "latin") else {})
+        again = Options({name: tree[name] for name in tree})
+        changes = {name: value for ok, name, value in ((k % 3 == 0, "Det.thresh", k % 10 / 10), (k % 2 == 0, "Global.text_score", k % 7 / 7), (k % 5 == 0, "Rec.rec_batch_num", k % 11 + 1)) if ok}
+        refused = None
+        try:
+            again.with_values({"Det.threshold": 1} if k % 13 == 0 else {"Rec.ocr_version": "none"} if k % 17 == 0 else {})
+        except (OptionError, TypeError) as e:
+            refused = type(e).__name__
+        flat = again.with_values(changes).flat()
+        return *(flat[x] for x in ("Det.thresh", "Global.text_score", "Rec.rec_batch_num", "Rec.lang_type", "Det.unclip_ratio")), refused
+
+    return by_row(table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("k"), "lang"), "doc_id long, thresh double, text_score double, batch int, lang_type string, unclip_ratio double, refused string", merged)
 
 
 @query(f"""
-with {REG} select 'rec' as task, model_key, model_dir, sha256, dict_url from reg where engine = 'onnxruntime' and version = 'PP-OCRv4' and model_key = 'ch_rec_server'
-union all select 'det', null, null, null, null""")
+with {REG}, {REQ}, j as (select q.*, r.model_dir, r.sha256, row_number() over (partition by doc_id order by ord) as n from req q left join reg r on r.engine = q.engine and r.version = q.version and r.task = q.task
+  and case when q.version = 'PP-OCRv6' then r.model_key = 'multi_PP-OCRv6_rec_' || q.model_type else starts_with(r.model_key, q.lang) and contains(r.model_key, q.model_type) end)
+select model_dir as path, min(sha256) as sha256, count(*) as n, false as conflict from j where n = 1 and model_dir is not null group by model_dir""")
 def download_plan(spark, sf):
-    """The recogniser's files; the catalog has none for the detector, and the classifier is off."""
-    options = Options().with_values({"Rec.ocr_version": "PP-OCRv4", "Rec.model_type": "server", "Rec.lang_type": "ch", "Det.ocr_version": "PP-OCRv4"}, use_cls=False)
-    return registry.download_plan({k: options[k] for k in options}, registry.registry(spark, SAMPLE))
+    """The files that all documents' requests need, each once."""
+    found = registry.find_models(_requests(spark, sf).withColumn("request_id", F.col("doc_id")), registry.registry(spark, SAMPLE))
+    return registry.deduplicated(found.where("model_dir is not null").select(F.col("model_dir").alias("path"), "sha256"))
 
 
 @query("""select distinct lang || '/' || source as path from documents where source not in (select source from documents where doc_id % 7 = 0 and source < 'src4')""")
@@ -339,10 +347,6 @@ def missing_files(spark, sf):
     return registry.missing_files(d.where("source is not null").select(key), there)
 
 
-_FIXED = {k: v for k, v in (("ch", "models/v4/a.onnx"), ("en", "models/v4/b.onnx"))}
-
-
-@query("select * from " + _values([(k, v, v.rsplit("/", 1)[1], v.rsplit("/", 1)[1][:-5]) for k, v in _FIXED.items()], "lang, path, base, stem"))
+@query(r"""select page_id, regexp_extract(url, '[^/]*$') as base, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\.[^.]*$', '\1') as stem from pages""")
 def path_parts(spark, sf):
-    df = spark.createDataFrame(list(_FIXED.items()), "lang string, path string")
-    return df.select("lang", "path", X.basename("path").alias("base"), X.stem("path").alias("stem"))
+    return table(spark, sf, "pages").select("page_id", X.basename("url").alias("base"), X.stem("url").alias("stem"))

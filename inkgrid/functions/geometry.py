@@ -127,19 +127,14 @@ def crop_size(box) -> Column:
 
 
 def clockwise(points) -> Column:
-    """Top left, top right, bottom right, bottom left: by x in halves, each half by y. Null unless there are four points.
-
-    Four points are put in order by exchanges of two, which whole-stage code does without sorting arrays.
-    """
-    p = [F.get(col(points), i) for i in range(4)]
-    p = [point(q["x"], q["y"]) for q in p]
-    for a, b in ((0, 2), (1, 3), (0, 1), (2, 3)):  # halves by x: which of both comes first in a half doesn't matter
-        p[a], p[b] = F.least(p[a], p[b]), F.greatest(p[a], p[b])
-    p[1], p[2] = F.least(p[1], p[2]), F.greatest(p[1], p[2])
-    turned = [F.struct(q["y"].alias("y"), q["x"].alias("x")) for q in p]
-    left, right = turned[:2], turned[2:]
-    out = [F.least(*left), F.least(*right), F.greatest(*right), F.greatest(*left)]
-    return F.when(F.size(col(points)) == 4, F.array(*(point(q["x"], q["y"]) for q in out)))
+    """Top left, top right, bottom right, bottom left: by x in halves, each half by y. Null unless there are four points."""
+    named = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731 - what is used several times is made once
+    turned = lambda half: F.sort_array(F.transform(half, lambda q: F.struct(q["y"].alias("y"), q["x"].alias("x"))))
+    halves = lambda p: F.array(turned(F.slice(p, 1, 2)), turned(F.slice(p, 3, 2)))
+    at = lambda h, side, end: F.get(F.get(h, side), end)
+    ring = lambda h: F.transform(F.array(at(h, 0, 0), at(h, 1, 0), at(h, 1, 1), at(h, 0, 1)), lambda q: point(q["x"], q["y"]))
+    by_x = F.sort_array(F.transform(col(points), lambda q: point(q["x"], q["y"])))
+    return F.when(F.size(col(points)) == 4, named(by_x, lambda p: named(halves(p), ring)))
 
 
 def bounds(points) -> Column:
