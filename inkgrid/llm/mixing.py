@@ -1,11 +1,13 @@
 """Temperature mixing of sources.
 
 A source's weight is its share of the tokens to the power alpha, normalised. Alpha is found by bisection: the weights
-reach the target entropy (a share of the largest possible), but no source is repeated more often than the limit. A
+reach the target entropy (a share of the largest possible), flatter than the sources with alpha below 1, sharper with
+alpha above 1, but no source is repeated more often than the limit. A
 source's budget is realised in blocks: whole passes over its documents, each in an order of its own given by keyed
 hashes, and a last pass cut where the next document would exceed the budget. As a pass is a run in hash order, the cut
 is one threshold for each source, found from sums over hash ranges; no source is gathered in one task. A weight depends
-on a source's tokens alone, so it is found on the histogram of these totals; sources themselves stay in tables.
+on a source's tokens alone, so alpha is found on a histogram of these totals with CLASSES classes for each doubling,
+each with its mean (where a class holds one total, nothing is lost); sources themselves stay in tables.
 
 Defined results: null text has no tokens; a null source is a source of its own; sources without tokens are drawn once
 and have weight 0; rows that repeat an id are drawn together; an empty table gives an empty table; other columns are
@@ -30,12 +32,16 @@ def entropy(weights: list[float], times: list[int] | None = None) -> float:
 def heated(tokens: list[int], alpha: float, times: list[int] | None = None) -> list[float]:
     """The weight of one source of each total, of which there are so many."""
     times = times or [1] * len(tokens)
-    total = sum(t * n for t, n in zip(tokens, times))
-    raw = [(t / total) ** alpha if t else 0.0 for t in tokens]
+    most = max(tokens, default=0)  # against the largest, so that no power of all vanishes
+    raw = [(t / most) ** alpha if t else 0.0 for t in tokens]
     whole = math.fsum(x * n for x, n in zip(raw, times))
     return [x / whole for x in raw]
 
 
+#: Classes of a histogram of totals for each doubling, and the largest exponent.
+CLASSES, SHARPEST = 1024, 1024.0
+
+
 @dataclass(frozen=True)
 class Mix:
     alpha: float
@@ -54,7 +60,7 @@ def solve(tokens: list[int], budget: int | None, entropy_share: float, most_pass
     many = sum(n for t, n in zip(tokens, times) if t)
     if not many:
         return Mix(1.0, [0.0] * len(tokens), [0] * len(tokens))
-    all_tokens = sum(t * n for t, n in zip(tokens, times))
+    all_tokens = round(sum(t * n for t, n in zip(tokens, times)))
 
     def drawn(weights: list[float]) -> float:
         return max(t / w for t, w in zip(tokens, weights) if t) if cover else float(budget if budget is not None else all_tokens)
@@ -64,25 +70,28 @@ def solve(tokens: list[int], budget: int | None, entropy_share: float, most_pass
         b = drawn(weights)
         return max(b * w / t for t, w in zip(tokens, weights) if t)
 
-    def bisect(ok) -> float:
-        """The least alpha in [0, 1] that is ok, given that 1 is and that it is monotonic."""
-        if ok(0.0):
-            return 0.0
-        low, high = 0.0, 1.0
+    def reached(low: float, high: float, ok) -> float:
+        """The exponent nearest to ``low`` between both that is ok, given that ``high`` is and that it is monotonic."""
+        if ok(low):
+            return low
         for _ in range(60):
             mid = (low + high) / 2
             low, high = (low, mid) if ok(mid) else (mid, high)
         return high
 
-    target = entropy_share * math.log(many)
-    own = entropy(heated(tokens, 1.0, times), times)
-    if target <= own:
-        warm = 1.0
-    else:
-        warm = bisect(lambda a: entropy(heated(tokens, a, times), times) <= target)
     if passes(1.0) > most_passes * (1 + 1e-12):
         raise ValueError(f"the budget takes {passes(1.0):.3f} passes over the sources; the limit is {most_passes}")
-    alpha = max(warm, bisect(lambda a: passes(a) <= most_passes * (1 + 1e-12)))
+    target = entropy_share * math.log(many)
+    spread = lambda a: entropy(heated(tokens, a, times), times)
+    if spread(1.0) <= target + 1e-12:
+        end = reached(0.0, 1.0, lambda a: spread(a) <= target)
+    else:  # past SHARPEST nothing changes any more but for sources as large as the largest
+        end = 1.0
+        while end < SHARPEST and spread(end) > target:
+            end *= 2
+        end = reached(1.0, end, lambda a: spread(a) <= target) if spread(end) <= target else end
+    # passes are fewest at 1 and grow to both sides
+    alpha = reached(end, 1.0, lambda a: passes(a) <= most_passes * (1 + 1e-12))
     weights = heated(tokens, alpha, times)
     exact = [w * drawn(weights) for w in weights]
     if cover:
@@ -113,14 +122,20 @@ def plan(docs: DataFrame, store: Store, budget: int | None, entropy_share: float
     spark = docs.sparkSession
     base = store.put(with_tokens(docs), "tokens")
     totals = store.put(base.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")), "totals")
-    # different totals: fewer than the square root of twice the number of tokens
-    found = sorted((r.t, r.c, r.n) for r in totals.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).collect())
-    mix = solve([t for t, _, _ in found], budget, entropy_share, most_passes, cover, [c for _, c, _ in found])
-    rows = [(t, mix.alpha, w, *(divmod(b, t) if t else (1, 0))) for (t, _, _), w, b in zip(found, mix.weights, mix.budgets)]
-    sources = totals.join(spark.createDataFrame(rows, "t long, alpha double, weight double, passes long, rest long"), "t").drop("t", "n")
+    # 64 doublings at most, whatever the number of sources
+    kind = F.when(F.col("t") > 0, F.floor(F.log2("t") * CLASSES)).otherwise(-1).cast("long")
+    found = sorted((r.k, r.t, r.c, r.n) for r in totals.groupBy(kind.alias("k")).agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).collect())
+    means = [t // c if t % c == 0 else t / c for _, t, c, _ in found]
+    mix = solve(means, budget, entropy_share, most_passes, cover, [c for _, _, c, _ in found])
+    rows = [(k, float(mean), mix.alpha, w, b) for (k, *_), mean, w, b in zip(found, means, mix.weights, mix.budgets)]
+    known = spark.createDataFrame(rows, "_k long, _mean double, alpha double, _w double, _b long")
+    part = F.when(F.col("t") > 0, F.pow(F.col("t") / F.col("_mean"), F.col("alpha"))).otherwise(1.0)
+    sources = totals.withColumn("_k", kind).join(F.broadcast(known), "_k").withColumn("_own", F.floor(F.col("_b") * part).cast("long"))
+    none = F.col("t") == 0
+    sources = sources.select("source", "alpha", (F.col("_w") * part).alias("weight"), F.when(none, 1).otherwise(F.expr("_own div t")).cast("long").alias("passes"), F.when(none, 0).otherwise(F.expr("_own % t")).cast("long").alias("rest"))
     sources = store.put(sources, "weights")
     # hash ranges of about BLOCK_ROWS documents; their order is the order of the hashes
-    bits = max(0, min(40, math.ceil(math.log2(max(1, sum(n for _, _, n in found) / BLOCK_ROWS)))))
+    bits = max(0, min(40, math.ceil(math.log2(max(1, sum(n for *_, n in found) / BLOCK_ROWS)))))
     part = base.join(sources.select(F.col("source").alias("_s"), "passes", "rest"), F.col("source").eqNullSafe(F.col("_s"))).where("rest > 0")
     part = part.withColumn("_h", _order(seed, F.col("passes"))).withColumn("_b", F.shiftright("_h", 63 - bits) if bits else F.lit(0).cast("long"))
     part = part.withColumn("_k", F.coalesce("source", F.lit(""))).withColumn("_z", F.col("source").isNull())

@@ -68,7 +68,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of 0.9 of the largest entropy, no source passed over more than four times, as many tokens as there are."""
+    """Weights of 0.9 of the largest entropy (sharper than the sources where theirs is above), no source passed over more than four times, as many tokens as there are."""
     return draws(table(spark, sf_dir, "documents"), Store(prepare(spark), "op10"), entropy_share=0.9, most_passes=4.0)
 
 
