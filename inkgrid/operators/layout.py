@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounds, gap_spaces, same_line
+from ..functions.geometry import bounds, gap_spaces
 
 # Fixed value: the sentence that stands for a page without a result.
 NOTHING_FOUND = "没有检测到任何文本。"
@@ -36,51 +39,99 @@ def to_json(df: DataFrame, image: str = "image_id", index: str = "box_idx", box:
     return pages.select(image, "json", F.when(F.size("_missing") > 0, F.concat(F.lit("without "), F.array_join("_missing", ", "))).alias("warning"))
 
 
-def visual_lines(items: Column) -> Column:
-    """Lines of a page: items (struct p, txt, i) from top to bottom each join the first line that they stand in.
+def fold_lines(top: Sequence[float], bottom: Sequence[float]) -> list[int]:
+    """For items from top to bottom, the number of the line that each joins: the first line that it stands in, else a new one.
 
-    A line's extent grows with its items, so this is a fold and not a join.
+    A line's extent grows with its items. Lines are found by the strips of the page that they reach into, so an item
+    meets its neighbours only and a page takes time in proportion to its items.
     """
-    item = "struct<p:struct<top:double,bottom:double,left:double,right:double,height:double,width:double,center_y:double>,txt:string,i:int>"
-    line = f"struct<p:{item[9:item.index(',txt')]},items:array<{item}>>"
-    start = F.array().cast(f"array<{line}>")
-
-    def fold(lines: Column, x: Column) -> Column:
-        hits = F.filter(F.transform(lines, lambda y, k: F.when(same_line(y["p"], x["p"]), k)), lambda k: k.isNotNull())
-        hit = F.get(hits, 0)
-        grown = F.transform(lines, lambda y, k: F.when(k == hit, F.struct(merged_props(y["p"], x["p"]).alias("p"), F.concat(y["items"], F.array(x)).alias("items")).cast(line)).otherwise(y))
-        return F.when(hit.isNotNull(), grown).otherwise(F.concat(lines, F.array(F.struct(x["p"].alias("p"), F.array(x).alias("items")).cast(line))))
-
-    ordered = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["p"]["center_y"].alias("a"), x["p"]["left"].alias("b"), x["i"].alias("c"), x.alias("x")))), lambda y: y["x"].cast(item))
-    lines = F.aggregate(ordered, start, fold)
-    return F.transform(F.array_sort(F.transform(lines, lambda y, k: F.struct(y["p"]["top"].alias("a"), y["p"]["left"].alias("b"), k.alias("c"), y.alias("y")))), lambda z: z["y"])
+    heights = sorted(b - a for a, b in zip(top, bottom))
+    strip = max(1.0, heights[len(heights) // 2]) if heights else 1.0
+    lines: list[list[float]] = []
+    strips: dict[int, list[int]] = {}
+    out = []
+    for a, b in zip(top, bottom):
+        high, mid = b - a, (a + b) / 2
+        reach = 0.35 * max(1.0, high)
+        hit = -1
+        for k in range(int((a - reach) // strip), int((b + reach) // strip) + 1):
+            for n in strips.get(k, ()):
+                if 0 <= hit <= n:
+                    continue
+                c, d, _, _ = lines[n]
+                low = max(1.0, min(d - c, high))
+                if max(0.0, min(d, b) - max(c, a)) / low > 0.5 or abs((c + d) / 2 - mid) < low * 0.35:
+                    hit = n
+        if hit < 0:
+            hit = len(lines)
+            lines.append([a, b, 1, 0])
+        line = lines[hit]
+        line[0], line[1] = min(line[0], a), max(line[1], b)
+        first, last = int(line[0] // strip), int(line[1] // strip)
+        for k in range(first, last + 1):
+            if not line[2] <= k <= line[3]:
+                strips.setdefault(k, []).append(hit)
+        line[2], line[3] = (first, last) if line[2] > line[3] else (min(first, line[2]), max(last, line[3]))
+        out.append(hit)
+    return out
+
+
+def line_numbers(top: Column, bottom: Column) -> Column:
+    """``fold_lines`` of two arrays."""
+
+    @F.pandas_udf("array<int>")
+    def run(top: pd.Series, bottom: pd.Series) -> pd.Series:
+        return pd.Series([fold_lines(a, b) for a, b in zip(top, bottom)])
+
+    return run(top, bottom)
+
+
+def visual_lines(df: DataFrame, image: str, index: str, box: str, txt: str) -> DataFrame:
+    """One row per image and visual line: image, line (null for an image without a text), p and items (struct p, txt, k), in their order.
+
+    The page is brought together once; lines and texts after it keep that partitioning.
+    """
+    known = F.col(txt).isNotNull() & F.col(box).isNotNull()
+    p = line_props(box)
+    item = F.struct(p["center_y"].alias("a"), p["left"].alias("b"), F.col(index).alias("c"), p.alias("p"), F.col(txt).alias("txt"))
+    pages = df.groupBy(image).agg(F.array_sort(F.collect_list(F.when(known, item))).alias("_items"))
+    side = lambda name: F.transform("_items", lambda x: x["p"][name])
+    pages = pages.withColumn("_lines", line_numbers(side("top"), side("bottom")))
+    items = pages.select(image, F.posexplode_outer(F.arrays_zip("_items", "_lines")).alias("_k", "_x"))
+    items = items.select(image, "_k", F.col("_x._lines").alias("line"), F.col("_x._items.p").alias("_p"), F.col("_x._items.txt").alias("_txt"))
+    least, most = (lambda c: F.min(f"_p.{c}")), (lambda c: F.max(f"_p.{c}"))
+    lines = items.groupBy(image, "line").agg(
+        least("top").alias("_t"), most("bottom").alias("_b"), least("left").alias("_l"), most("right").alias("_r"),
+        F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct(F.col("_p.left").alias("a"), F.col("_k").alias("k"), F.col("_p").alias("p"), F.col("_txt").alias("txt"))))).alias("items"),
+    )
+    whole = F.struct(F.col("_t").alias("top"), F.col("_b").alias("bottom"), F.col("_l").alias("left"), F.col("_r").alias("right"), (F.col("_b") - F.col("_t")).alias("height"), (F.col("_r") - F.col("_l")).alias("width"), ((F.col("_t") + F.col("_b")) / 2).alias("center_y"))
+    return lines.select(image, "line", whole.alias("p"), "items")
 
 
 def line_text(items: Column) -> Column:
     """Text of a visual line: items from left to right, gaps as spaces."""
-    ordered = F.transform(F.array_sort(F.transform(items, lambda x, k: F.struct(x["p"]["left"].alias("a"), k.alias("b"), x.alias("x")))), lambda y: y["x"])
 
     def part(x: Column, k: Column) -> Column:
-        before = F.get(ordered, k - 1)["p"]
+        before = F.get(items, k - 1)["p"]
         n = gap_spaces(x["p"]["left"] - before["right"], before["width"], x["p"]["width"])
         return F.concat(F.when(k > 0, F.repeat(F.lit(" "), n)).otherwise(""), x["txt"])
 
-    return F.array_join(F.transform(ordered, part), "")
+    return F.array_join(F.transform(items, part), "")
 
 
 def to_markdown(df: DataFrame, image: str = "image_id", index: str = "box_idx", box: str = "box", txt: str = "txt") -> DataFrame:
     """One row per image: markdown. A gap of over 0.8 of the taller neighbour's height becomes an empty line; an image whose texts are all null has NOTHING_FOUND."""
-    item = F.struct(line_props(box).alias("p"), F.col(txt).alias("txt"), F.col(index).cast("int").alias("i"))
-    pages = df.groupBy(image).agg(F.collect_list(F.when(F.col(txt).isNotNull() & F.col(box).isNotNull(), item)).alias("_items"))
-    pages = pages.withColumn("_lines", visual_lines(F.col("_items")))
+    found = visual_lines(df, image, index, box, txt)
+    line = F.struct(F.col("p.top").alias("a"), F.col("p.left").alias("b"), F.col("line").alias("c"), F.col("p"), line_text(F.col("items")).alias("txt"))
+    pages = found.groupBy(image).agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), line))).alias("_lines"))
     lines = F.col("_lines")
 
     def part(y: Column, k: Column) -> Column:
         before = F.get(lines, k - 1)["p"]
         wide = (y["p"]["top"] - before["bottom"]) > F.greatest(before["height"], y["p"]["height"]) * 0.8
-        return F.concat(F.when((k > 0) & wide, "\n").otherwise(""), line_text(y["items"]))
+        return F.concat(F.when((k > 0) & wide, "\n").otherwise(""), y["txt"])
 
-    return pages.select(image, F.when(F.size("_items") == 0, NOTHING_FOUND).otherwise(F.array_join(F.transform(lines, part), "\n")).alias("markdown"))
+    return pages.select(image, F.when(F.size("_lines") == 0, NOTHING_FOUND).otherwise(F.array_join(F.transform(lines, part), "\n")).alias("markdown"))
 
 
 def paragraph_breaks(df: DataFrame, image: str, order: list[str], top: str = "top", bottom: str = "bottom") -> DataFrame:
