@@ -5,11 +5,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from .catalog import PIX, _pixels, query, table
 from .catalog_rows import _joined, _square, by_row
 from .functions.tables import register_tables
+from .options import Options
+from .plans.pipeline import Models, Pipeline, checked
+from .schemas import IMAGES
+from .sessions import DarkSession
 from .sources import images, pixels
 from .sources.assets import fetch_assets, ship
 from .sources.datasource import read_pictures, write_pictures
@@ -119,6 +125,38 @@ def jpeg_bytes(spark, sf):
     return out.select(F.col("image_id").cast("long").alias("vec_id"), "height", "width", "levels", "light")
 
 
+# -- metrics -------------------------------------------------------------------------------------
+
+
+def barred_page(key: int) -> np.ndarray:
+    """A white page of 64 x 128 with up to three dark bars."""
+    page = np.full((64, 128, 3), 255, np.uint8)
+    for i in range(key % 4):
+        page[6 + 19 * i : 15 + 19 * i, 10 + key % 20 : 60 + key % 50] = 0
+    return page
+
+
+@query("""
+select count(*) as pages, count(*) filter (k % 7 = 0) as failed_pages, 0::bigint as unexpected_pages, count(*) filter (k % 7 > 0 and k % 4 = 0) as empty_pages, sum(case when k % 7 > 0 then k % 4 else 0 end)::bigint as lines,
+  count(*) filter (k % 7 > 0) > 0 as timed from (select p_partkey as k from part)""")
+def observed_pages(spark, sf):
+    """Metrics that one pass over drawn pages reports of itself; every seventh page has no picture."""
+
+    def draw(it):
+        for pdf in it:
+            rows = [(str(k), None, "no content") if k % 7 == 0 else (str(k), images.image_row(str(k), barred_page(k)), None) for k in pdf["p_partkey"]]
+            yield pd.DataFrame(rows, columns=["image_id", "image", "error"])
+
+    keys = table(spark, sf, "part").select("p_partkey")
+    parts = max(keys.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    seen = Observation()
+    pipeline = Pipeline(Models(det=DarkSession), Options().with_values({"Det.limit_side_len": 32}))
+    pipeline.transform(keys.repartition(parts).mapInPandas(draw, IMAGES), seen).write.format("noop").mode("overwrite").save()
+    got = checked(seen.get, 0.0)
+    row = [got[c] for c in ("pages", "failed_pages", "unexpected_pages", "empty_pages", "lines")]
+    return spark.createDataFrame([(*row, got["det_seconds"] > 0)], "pages long, failed_pages long, unexpected_pages long, empty_pages long, lines long, timed boolean")
+
+
 # -- table functions -----------------------------------------------------------------------------
 
 

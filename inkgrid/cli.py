@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(missing) or "ok")
         return bool(missing)
 
-    from pyspark.sql import SparkSession
+    from pyspark.sql import Observation, SparkSession
 
     spark = SparkSession.builder.appName("inkgrid").getOrCreate()
     options = options_of(args)
@@ -86,7 +86,8 @@ def main(argv: list[str] | None = None) -> int:
     one = Path(args.images).is_file()
     files = read_files(spark, args.images, Path(args.images).name if one else "*")
     pages = decode(files)
-    lines = Pipeline(models, options).transform(pages)
+    seen = Observation("run")
+    lines = Pipeline(models, options).transform(pages, seen)
     if args.vis:
         overlays(pages, lines, "beside", least=options["Global"]["text_score"]).write.mode("overwrite").parquet(args.vis)
     out = {"lines": lambda: lines, "json": lambda: layout.to_json(lines), "markdown": lambda: layout.to_markdown(lines)}[args.format]()
@@ -94,6 +95,7 @@ def main(argv: list[str] | None = None) -> int:
         out.write.mode("overwrite").json(args.out)
     else:
         out.show(1000, truncate=False)
+    print(" ".join(f"{k}={v:.3f}" if isinstance(v, float) else f"{k}={v}" for k, v in seen.get.items()), file=sys.stderr)
     return 0
 
 
