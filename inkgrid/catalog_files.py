@@ -19,6 +19,7 @@ from .sessions import DarkSession
 from .sources import images, pixels
 from .sources.assets import fetch_assets, ship
 from .sources.datasource import read_pictures, write_pictures
+from .sources.drawing import overlays
 from .sources.stores import scratch, store_of
 
 
@@ -125,6 +126,19 @@ def jpeg_bytes(spark, sf):
     return out.select(F.col("image_id").cast("long").alias("vec_id"), "height", "width", "levels", "light")
 
 
+@query(f"""
+with {PIX} select vec_id, array_to_string(list_transform(range(0, 192), lambda i: case when i // 3 % 8 between 1 and 6 and i // 24 between 2 and 5 then (v[i // 3 + 1] + (case i % 3 when 0 then 113 when 1 then 71 else 29 end)) // 2 else v[i // 3 + 1] end), ',') as flat from px""")
+def blended_boxes(spark, sf):
+    """A page blended by half with one filled box: all pixels of the overlay's left side."""
+    gray = lambda v: np.dstack([_square(v, 8, 8)] * 3)
+    pages = by_row(_pixels(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(gray(v)),))
+    box = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((1, 2), (6, 2), (6, 5), (1, 5))))
+    lines = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), F.lit(0).alias("box_idx"), box.alias("box"), F.lit("text").alias("txt"), F.lit(0.9).alias("rec_score"))
+    seen = overlays(images.decode(pages), lines, "beside")
+    out = by_row(images.decode(seen).select("image_id", "image"), "image_id string, flat string", lambda x: (_joined(images.array_of(x)[:, :8]),))
+    return out.select(F.col("image_id").cast("long").alias("vec_id"), "flat")
+
+
 # -- metrics -------------------------------------------------------------------------------------
 
 
