@@ -1,4 +1,4 @@
-"""Command line: ``python -m inkgrid IMAGES [options]`` and the subcommands config, check and models."""
+"""Command line: ``python -m inkgrid IMAGES [options]`` and the subcommands config, check, models and download."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from .options import Options
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="inkgrid", description="Text lines of images.")
-    p.add_argument("images", help="file, folder or glob; or one of: config, check, models")
-    p.add_argument("target", nargs="?", help="config: where to write the default options; models: the catalog file")
+    p.add_argument("images", help="file, folder or glob; or one of: config, check, models, download")
+    p.add_argument("target", nargs="?", help="config: where to write the default options; models and download: the catalog file")
     p.add_argument("--config", help="option file")
     p.add_argument("--set", action="append", default=[], metavar="KEY=VALUE", help="dotted override, e.g. Det.thresh=0.4")
     p.add_argument("--text-score", type=float, help="least score of a line")
@@ -25,7 +25,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--words", action="store_true", help="boxes of words too")
     p.add_argument("--single-chars", action="store_true", help="boxes of single characters instead of words")
     p.add_argument("--vis", metavar="FOLDER", help="also write pictures of the pages with their boxes and texts (image_id, PNG content; Parquet)")
-    p.add_argument("--out", help="folder for the result (JSON lines); default: print")
+    p.add_argument("--out", help="folder for the result (JSON lines); default: print; download: the folder for the files (default: Global.model_root_dir)")
+    p.add_argument("--most-failed", type=float, default=1.0, metavar="SHARE", help="fail if a larger share of the pages failed unexpectedly")
     return p
 
 
@@ -45,14 +46,41 @@ def options_of(args: argparse.Namespace) -> Options:
     return options.with_values(values)
 
 
+#: What the model doubles read on the page that is drawn for key 1.
+EXPECTED = ["aca", "acb", "acb"]
+
+
 def self_check() -> list[str]:
-    """What is missing for a run: drawn pages are taken through the pipeline with model doubles."""
+    """What is missing for a run: a drawn page is taken through detection, classification and recognition with model doubles."""
     from .operators.corpus import drawn_page
-    from .plans.pipeline import in_reading_order, detect_page
-    from .sessions import DarkSession
-
-    found = in_reading_order(detect_page(drawn_page(1), DarkSession(), Options()["Det"]))
-    return [] if len(found) == 3 else [f"3 lines were drawn, {len(found)} found"]
+    from .plans.pipeline import Models, Page, _read_pages
+    from .sessions import DarkSession, InkSession, UprightSession
+
+    models, options = Models(DarkSession, UprightSession, lambda: InkSession(6), tuple("abcd")), Options()
+    tree, use = {k: options[k] for k in options}, dict.fromkeys(("det", "cls", "rec"), True)
+    page = Page("check")
+    page.guarded(lambda p: p.find(drawn_page(1), models, tree, use))
+    rows = _read_pages([page], models, tree, use, options.classifier_shape())
+    read = [r.get("txt") for r in rows]
+    return [] if read == EXPECTED else [rows[0].get("error") or f"{EXPECTED} was drawn, {read} was read"]
+
+
+def download(spark, options: Options, catalog: str, folder: str | None) -> int:
+    """Fetch the files that the options need; 1 if any of them can't be had."""
+    from .plans.prepare import wanted_files
+    from .sources.assets import fetch_assets
+
+    folder = folder or options["Global"]["model_root_dir"]
+    if not folder:
+        raise SystemExit("download needs a folder: --out or Global.model_root_dir")
+    wanted = wanted_files(spark, options, catalog)
+    lacking = [f"{r.task} {r.kind}" for r in wanted.where("url is null").collect()]
+    rows = fetch_assets(wanted, folder).collect()  # a few for each stage
+    for r in sorted(rows):
+        print(r.status, r.path, r.error or "", sep="\t")
+    for x in lacking:
+        print("missing", x, "the catalog has none", sep="\t")
+    return int(bool(lacking) or any(r.status == "failed" for r in rows))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -69,6 +97,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("inkgrid").getOrCreate()
     options = options_of(args)
+    if args.images == "download":
+        return download(spark, options, args.target, args.out)
     if args.images == "models":
         from .operators.registry import download_plan, registry
 
@@ -76,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     from .operators import layout
-    from .plans.pipeline import Models, Pipeline
+    from .plans.pipeline import Models, Pipeline, checked
     from .sessions import engine_factory
     from .sources.drawing import overlays
     from .sources.images import decode, read_dictionary, read_files
@@ -95,6 +125,7 @@ def main(argv: list[str] | None = None) -> int:
         out.write.mode("overwrite").json(args.out)
     else:
         out.show(1000, truncate=False)
+    checked(seen.get, args.most_failed)
     print(" ".join(f"{k}={v:.3f}" if isinstance(v, float) else f"{k}={v}" for k, v in seen.get.items()), file=sys.stderr)
     return 0
 
