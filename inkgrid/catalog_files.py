@@ -19,7 +19,7 @@ from .sessions import DarkSession
 from .sources import images, pixels
 from .sources.assets import fetch_assets, ship
 from .sources.datasource import read_pictures, write_pictures
-from .sources.drawing import overlays
+from .sources.drawing import line_crops, overlays
 from .sources.stores import scratch, store_of
 
 
@@ -139,6 +139,20 @@ def blended_boxes(spark, sf):
     return out.select(F.col("image_id").cast("long").alias("vec_id"), "flat")
 
 
+@query(f"""
+with {PIX}, b as (select * from (values (0, 0, 0, 4, 3), (1, 2, 1, 7, 6), (2, 3, 3, 3, 7)) as b(box_idx, x0, y0, x1, y1))
+select vec_id, box_idx, case when x1 > x0 then array_to_string(list_transform(range(0, (x1 - x0) * (y1 - y0)), lambda i: v[(y0 + i // (x1 - x0)) * 8 + x0 + i % (x1 - x0) + 1]), ',') else 'a box without area' end as flat from px, b""")
+def page_crops(spark, sf):
+    """Crops of three boxes of every page, at the page's own scale; one box has no area."""
+    pages = by_row(_pixels(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(_square(v, 8, 8)),))
+    box = lambda x0, y0, x1, y1: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+    boxes = F.posexplode(F.array(box(0, 0, 4, 3), box(2, 1, 7, 6), box(3, 3, 3, 7))).alias("box_idx", "box")
+    crops = line_crops(images.decode(pages), table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), boxes))
+    key = F.concat("image_id", F.lit(":"), F.col("box_idx").cast("string")).alias("key")
+    out = by_row(crops.select(key, "image", "error"), "key string, flat string", lambda image, error: (error or _joined(images.array_of(image)[:, :, 0]),))
+    return out.select(F.substring_index("key", ":", 1).cast("long").alias("vec_id"), F.substring_index("key", ":", -1).cast("int").alias("box_idx"), "flat")
+
+
 # -- metrics -------------------------------------------------------------------------------------
 
 

@@ -109,18 +109,21 @@ def find_models(requests: DataFrame, models: DataFrame) -> DataFrame:
     model type. Requests without a model stay, with nulls.
     """
     found = ["model_key", "model_dir", "sha256", "dict_url"]
-    # every different question is answered once; the answers meet the requests as they are
+    # every different question is answered once; what is asked of a routed version has one answer for all languages, so
+    # there are no more answers than the catalog has models and ways to name them, and they can be sent to the requests
     what = ["engine", "version", "task", "lang", "model_type"]
     routed = F.col("version").eqNullSafe(ROUTED_VERSION) & F.col("task").isin(*ROUTED_TASKS)
+    asked = requests.withColumn("_lang", F.when(~routed, F.col("lang")))
     key = F.when(routed, F.concat(F.lit("multi_"), "version", F.lit("_"), "task", F.lit("_"), "model_type"))
-    r = requests.select(*what).distinct().withColumn("_key", key)
+    r = asked.select(*(F.col("_lang" if c == "lang" else c).alias(c) for c in what)).distinct().withColumn("_key", key)
     m = models.select(*(F.col(c).alias(f"_{c}") for c in models.columns))
     fits = F.when(F.col("_key").isNotNull(), F.col("_model_key") == F.col("_key")).otherwise(F.col("_model_key").startswith(F.col("lang")) & F.col("_model_key").contains(F.col("model_type")))
     on = (F.col("engine") == F.col("_engine")) & (F.col("version") == F.col("_version")) & (F.col("task") == F.col("_task")) & fits
     answer = F.min_by(F.struct(*(F.col(f"_{c}").alias(c) for c in found)), F.col("_ord")).alias("_found")
-    answers = r.join(m, on).groupBy(*what).agg(answer).select(*(F.col(c).alias(f"_{c}") for c in what), "_found")
-    out = requests.join(answers, [requests[c] == answers[f"_{c}"] for c in what], "left")
-    return out.select(*(requests[c] for c in requests.columns), *(F.col(f"_found.{c}").alias(c) for c in found))
+    answers = r.join(m, on).groupBy(*what).agg(answer).select(*(F.col(c).alias(f"_a_{c}") for c in what), "_found")
+    same = [F.col("_lang").eqNullSafe(F.col("_a_lang")) if c == "lang" else F.col(c) == F.col(f"_a_{c}") for c in what]
+    out = asked.join(F.broadcast(answers), same, "left")
+    return out.select(*requests.columns, *(F.col(f"_found.{c}").alias(c) for c in found))
 
 
 def dictionary_url(requests: DataFrame, models: DataFrame, engines: Iterable[str] = ("paddle", "onnxruntime")) -> DataFrame:

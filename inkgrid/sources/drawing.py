@@ -12,10 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.detection import inside_polygon
+from ..schemas import IMAGES
 from . import pixels
-from .images import array_of
+from .images import array_of, image_row
 
 #: Draws a text into a box (four points) of an array; fonts are the user's.
 TextDrawer = Callable[[np.ndarray, np.ndarray, str], None]
@@ -138,6 +140,32 @@ def stacked(crops: Sequence[np.ndarray], gap: int = 4) -> np.ndarray:
     return out
 
 
+def line_crops(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """image_id, box_idx, image and error of every line with a box: its straightened crop in the page's own scale and pixels.
+
+    ``images`` are the pages as they were decoded, so a crop has the size that the line has there, whatever size its
+    page was brought to for detection. A box without area is an error row; lines whose page has no image are left out.
+    """
+    boxes = lines.where("box is not null").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_idx", "box"))).alias("_lines"))  # lines of one page
+    pages = images.where("image is not null").join(boxes, "image_id").select("image_id", "image", "_lines")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for key, image, found in zip(pdf["image_id"], pdf["image"], pdf["_lines"]):
+                a = array_of(image)
+                for x in found:
+                    try:
+                        crop = pixels.straighten(a, np.array([[p["x"], p["y"]] for p in x["box"]]))
+                        rows.append((key, x["box_idx"], image_row(f"{key}#{x['box_idx']}", crop), None))
+                    except pixels.LoadError as e:
+                        rows.append((key, x["box_idx"], None, str(e)))
+            yield pd.DataFrame(rows, columns=["image_id", "box_idx", "image", "error"])
+
+    schema = T.StructType([IMAGES["image_id"], T.StructField("box_idx", T.IntegerType()), IMAGES["image"], IMAGES["error"]])
+    return pages.mapInPandas(run, schema)
+
+
 KINDS = ("boxes", "beside", "words", "crops")
 
 
