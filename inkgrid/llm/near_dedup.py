@@ -2,8 +2,9 @@
 
 A text becomes a 64-bit fingerprint: each bit is the majority of that bit over the XXH64 hashes of its word
 shingles. Two fingerprints at most ``tau`` bits apart, cut into ``m`` segments on a ring, have a start from which
-every chain of l consecutive segments differs in at most l*tau/m bits. Candidates meet in blocks that agree on one
-segment (a chain of one), longer chains prune them, and the full distance decides.
+every chain of l consecutive segments differs in at most l*tau/m bits. With two segments more than ``tau`` at least two
+are equal: candidates meet in blocks that agree on two segments, chains from one of these prune them, and the full
+distance decides.
 
 For near copies by shingle overlap (``similar_documents``) 64 bits would need a tolerance at which a single segment
 selects nothing, so documents meet there by minima of their shingle hashes: first by single minima, then, among
@@ -184,8 +185,10 @@ def blocks(rows: DataFrame, keys: list[str], link: Callable[[pa.Table, tuple], t
             new = np.zeros(batch.num_rows, bool)
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.nonzero(new)[0].tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
+            cuts = np.concatenate([[0], np.nonzero(new)[0], [batch.num_rows]])
+            some = np.diff(cuts) > 1  # a row alone links with nothing; the first and the last block may go on
+            some[[0, -1]] = True
+            for lo, hi in zip(cuts[:-1][some].tolist(), cuts[1:][some].tolist()):
                 key = tuple(c[lo] for c in cols)
                 if at is not None and key != at and held:
                     yield from close()
@@ -224,17 +227,26 @@ def fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def fingerprint_links(fps: DataFrame, tau: int = 4, m: int | None = None, cap: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join all ids of ``fps(id, fp)`` whose fingerprints are at most tau bits apart. fp must be unique."""
-    m = m or tau + 1
+    """Links (a, b) that join all ids of ``fps(id, fp)`` whose fingerprints are at most tau bits apart. fp must be unique.
+
+    With m > tau segments, m - tau of them are equal in such a pair. Where that is two or more, blocks are keyed by two
+    equal segments, each pair of segments for itself: as many as tau + 2 segments of 64 bits make keys of 21 bits.
+    """
+    m = m or tau + 2
     if m <= tau:
         raise ValueError("with m > tau segments, one of them is equal")
-    keys = [F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("val")) for i, (s, w) in enumerate(segments(m))]
+    chosen = [(i, j) for i in range(m) for j in range(i + 1, m)] if m > tau + 1 else [(i,) for i in range(m)]
+    part = lambda i: F.shiftrightunsigned("fp", segments(m)[i][0]).bitwiseAND(F.lit((1 << segments(m)[i][1]) - 1))
+    value = lambda c: part(c[0]) if len(c) == 1 else F.shiftleft(part(c[0]), segments(m)[c[1]][1]).bitwiseOR(part(c[1]))
+    keys = [F.struct(F.lit(k).alias("seg"), value(c).alias("val")) for k, c in enumerate(chosen)]
     rows = fps.where("id is not null").select("id", "fp", F.explode(F.array(*keys)).alias("k")).select("id", "fp", "k.seg", "k.val")
 
     def link(t: pa.Table, at: tuple):
         fp = t.column("fp").to_numpy().view(np.uint64)
         left, right = _sides(t, at)
-        i, j = ring_pairs(fp[left], fp[right], tau, m, int(at[0]))
+        # a chain that stays in budget begins with an equal segment: in some block that is one of the block's own
+        found = [ring_pairs(fp[left], fp[right], tau, m, start) for start in chosen[int(at[0])]]
+        i, j = (np.concatenate(x) for x in zip(*found))
         i, j = left[i], right[j]
         return _links(t, i[i != j], j[i != j])
 
