@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from pathlib import Path
 
 from .options import Options
 
+log = logging.getLogger("inkgrid")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="inkgrid", description="Text lines of images.")
@@ -97,6 +100,9 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("inkgrid").getOrCreate()
     options = options_of(args)
+    log.setLevel(str(options["Global"]["log_level"]).upper())
+    if not log.handlers:
+        log.addHandler(logging.StreamHandler())
     if args.images == "download":
         return download(spark, options, args.target, args.out)
     if args.images == "models":
@@ -125,8 +131,7 @@ def main(argv: list[str] | None = None) -> int:
         out.write.mode("overwrite").json(args.out)
     else:
         out.show(1000, truncate=False)
-    checked(seen.get, args.most_failed)
-    print(" ".join(f"{k}={v:.3f}" if isinstance(v, float) else f"{k}={v}" for k, v in seen.get.items()), file=sys.stderr)
+    checked(seen.get, args.most_failed)  # told to the log
     return 0
 
 
