@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .catalog import PIX, _pixels, query, table
 from .catalog_rows import _joined, _square, by_row
 from .functions.tables import register_tables
+from .operators.corpus import DRAWN
 from .options import Options
 from .plans.pipeline import Models, Pipeline, checked
 from .schemas import IMAGES
@@ -172,8 +173,9 @@ def observed_pages(spark, sf):
 
     def draw(it):
         for pdf in it:
-            rows = [(str(k), None, "no content") if k % 7 == 0 else (str(k), images.image_row(str(k), barred_page(k)), None) for k in pdf["p_partkey"]]
-            yield pd.DataFrame(rows, columns=["image_id", "image", "error"])
+            for lo in range(0, len(pdf), DRAWN):
+                rows = [(str(k), None, "no content") if k % 7 == 0 else (str(k), images.image_row(str(k), barred_page(k)), None) for k in pdf["p_partkey"][lo : lo + DRAWN]]
+                yield pd.DataFrame(rows, columns=["image_id", "image", "error"])
 
     keys = table(spark, sf, "part").select("p_partkey")
     parts = max(keys.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
