@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .catalog import BOXES, KEY, ORDER, PIX, REG, REQ, SAMPLE, TIES, VOCAB, _pixels, _requests, boxes, query, table
-from .catalog_rows import _joined, _square, by_row
+from .catalog_rows import _joined, _square, by_row, dealt
 from .functions import arrays as A
 from .functions import geometry as G
 from .functions import text as X
@@ -95,7 +95,7 @@ select id, round(ax + ux * 0.25e0 + vx * 0.5e0, 4) as x, round(ay + uy * 0.25e0
 def inverse_perspective(spark, sf):
     """A quarter along the upper edge and half way down, back onto a slanted box."""
     k = F.col("p_partkey")
-    df = table(spark, sf, "part").select(k.alias("id"), (k % 90).alias("ax"), (k * 7 % 80).alias("ay"), (k % 11 + 20).alias("ux"), (k % 5).alias("uy"), (-(k % 3)).alias("vx"), (k % 7 + 10).alias("vy"))
+    df = dealt(table(spark, sf, "part").select(k.alias("id"), (k % 90).alias("ax"), (k * 7 % 80).alias("ay"), (k % 11 + 20).alias("ux"), (k % 5).alias("uy"), (-(k % 3)).alias("vx"), (k % 7 + 10).alias("vy")))
 
     def kernel(ax, ay, ux, uy, vx, vy):
         quad = np.array([[ax, ay], [ax + ux, ay + uy], [ax + ux + vx, ay + uy + vy], [ax + vx, ay + vy]], float)
@@ -112,7 +112,7 @@ select id, x0 as left_x, y0 as top_y, x0 + w as right_x, y0 + h as low_y, cast(t
 def corners_and_words(spark, sf):
     """Shuffled corners put in order, and a word of the crop back on the page."""
     k = F.col("p_partkey")
-    df = table(spark, sf, "part").select(k.alias("id"), (k % 90).alias("x0"), (k * 7 % 80).alias("y0"), (k % 11 + 20).alias("w"), (k % 7 + 10).alias("h"))
+    df = dealt(table(spark, sf, "part").select(k.alias("id"), (k % 90).alias("x0"), (k * 7 % 80).alias("y0"), (k % 11 + 20).alias("w"), (k % 7 + 10).alias("h")))
 
     def kernel(x0, y0, w, h):
         box = pixels.clockwise_quad(np.array([[x0 + w, y0 + h], [x0, y0], [x0 + w, y0], [x0, y0 + h]], float))
@@ -134,16 +134,23 @@ def smallest_rectangles(spark, sf):
         corners, short = detection.smallest_rectangle(points)
         return short, float(np.linalg.norm(corners[0] - corners[1]) * np.linalg.norm(corners[0] - corners[3]))
 
-    out = by_row(table(spark, sf, "part").select(k.alias("id"), (k % 23 + 1).alias("a"), (k * 7 % 19 + 1).alias("b")), "id long, short double, area double", kernel)
+    out = by_row(dealt(table(spark, sf, "part").select(k.alias("id"), (k % 23 + 1).alias("a"), (k * 7 % 19 + 1).alias("b"))), "id long, short double, area double", kernel)
     return out.select("id", F.round("short", 6).alias("short"), F.round("area", 4).alias("area"))
 
 
 @query(f"""
 with {BOXES} select img, box_idx, pk, sk, cast(greatest(0, least(1199, round_even(x0 / 900e0 * 1200e0, 0))) as integer) as x, cast(greatest(0, least(99, round_even(y0 / 160e0 * 100e0, 0))) as integer) as y from boxes""")
 def rescaled_corners(spark, sf):
-    df = boxes(spark, sf).select(F.struct(*KEY).alias("key"), "x0", "y0")
-    out = by_row(df, "key struct<img:long,box_idx:int,pk:long,sk:long>, x int, y int", lambda x, y: tuple(detection.on_page(np.array([[x, y]], float), 160, 900, 100, 1200)[0].tolist()))
-    return out.select("key.*", "x", "y")
+    """All corners of a batch at once."""
+
+    def run(it):
+        for pdf in it:
+            on = detection.on_page(pdf[["x0", "y0"]].to_numpy(float), 160, 900, 100, 1200)
+            yield pdf[KEY].assign(x=on[:, 0], y=on[:, 1])
+
+    df = boxes(spark, sf).select(*KEY, "x0", "y0")
+    kinds = {c: df.schema[c].dataType.simpleString() for c in KEY}
+    return df.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", x int, y int")
 
 
 @query("""select p_partkey as id, cast(4 + p_partkey % 50 as integer) as h, cast(5 + p_partkey % 70 as integer) as w, 1e0 as ratio_h, 1e0 as ratio_w, false as failed from part""")
