@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..operators.detection import inside_polygon
 from ..schemas import IMAGES
 from . import pixels
-from .images import array_of, image_row
+from .images import array_of, image_row, in_parts
 
 #: Draws a text into a box (four points) of an array; fonts are the user's.
 TextDrawer = Callable[[np.ndarray, np.ndarray, str], None]
@@ -150,7 +150,7 @@ def line_crops(images: DataFrame, lines: DataFrame) -> DataFrame:
     pages = images.where("image is not null").join(boxes, "image_id").select("image_id", "image", "_lines")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in in_parts(it):
             rows = []
             for key, image, found in zip(pdf["image_id"], pdf["image"], pdf["_lines"]):
                 a = array_of(image)
@@ -186,7 +186,7 @@ def overlays(images: DataFrame, lines: DataFrame, kind: str = "boxes", draw_text
     pages = images.where("image is not null").join(drawn, "image_id", "left").select("image_id", "image", "_lines")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+        for pdf in in_parts(it):
             out = []
             for image, found in zip(pdf["image"], pdf["_lines"]):
                 a = array_of(image)
