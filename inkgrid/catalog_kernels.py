@@ -57,7 +57,7 @@ def exif_orientations(spark, sf):
 @query(f"""with {PIX} select cast(vec_id as varchar) as image_id, cast(list_sum(v) * 3 as bigint) as light, 8 as height, 8 as width, array_to_string(list_transform(range(0, 192), lambda i: v[i // 3 + 1]), ',') as flat from px""")
 def png_round_trip(spark, sf):
     """Gray squares encoded, decoded as files are and brought to BGR."""
-    files = by_row(_pixels(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(_square(v, 8, 8)),))
+    files = by_row(dealt(_pixels(spark, sf)).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(_square(v, 8, 8)),))
     df = images.decode(files).select("image_id", "image")
     out = by_row(df, "image_id string, light long, height int, width int, flat string", lambda x: (int(images.array_of(x).sum()), x["height"], x["width"], _joined(images.array_of(x))))
     return out
@@ -283,9 +283,7 @@ def right_to_left(spark, sf):
 with c as (select doc_id, string_split(translate(text, 'bcdefghijklmnopqrstuvwxyz', 'bbbbbbbbbbbbbbbbbbbbbbbbb'), '') as cs from documents)
 select doc_id, array_to_string(list_transform(cs, lambda x: coalesce(list_position([{", ".join(f"'{t}'" for t in VOCAB)}], x) - 1, -1)), ',') as classes from c""")
 def character_classes(spark, sf):
-    cs = X.chars(F.translate("text", "bcdefghijklmnopqrstuvwxyz", "b" * 25))
-    index = A.class_index(F.array(*map(F.lit, VOCAB)))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(cs, lambda c: F.coalesce(F.try_element_at(index, c), F.lit(-1)).cast("string")), ",").alias("classes"))
+    return table(spark, sf, "documents").select("doc_id", X.char_classes(F.translate("text", "bcdefghijklmnopqrstuvwxyz", "b" * 25), VOCAB).alias("classes"))
 
 
 # -- arrays --------------------------------------------------------------------------------------

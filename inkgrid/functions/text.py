@@ -37,6 +37,18 @@ def chars(x) -> Column:
     return F.filter(F.split(col(x), ""), lambda c: c != "")
 
 
+def char_classes(x, vocab: list[str]) -> Column:
+    """Class of each code point by a small vocabulary, comma-joined; -1 for one that is no token. Whole strings are replaced, not character by character."""
+    known = {t: i for i, t in reversed(list(enumerate(vocab))) if len(t) == 1}
+    mark = lambda i: chr(0xE001 + i)  # noqa: E731 - what stood there before is replaced first
+    inside = "".join(f"\\x{{{ord(t):x}}}" for t in known)
+    out = F.regexp_replace(col(x), f"[^{inside}]" if known else r"(?s).", chr(0xE000))
+    out = F.translate(out, "".join(known), "".join(map(mark, known.values()))) if known else out
+    for char, value in ((chr(0xE000), -1), *((mark(i), i) for i in known.values())):
+        out = F.replace(out, F.lit(char), F.lit(f"{value},"))
+    return F.rtrim(out, F.lit(","))
+
+
 def is_url(x) -> Column:
     """A scheme and a host are present."""
     return F.coalesce(F.try_parse_url(col(x), F.lit("PROTOCOL")).isNotNull() & F.try_parse_url(col(x), F.lit("HOST")).isNotNull(), F.lit(False))
