@@ -10,7 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from .catalog import PIX, _pixels, query, table
-from .catalog_rows import _joined, _square, by_row
+from .catalog_rows import _joined, _square, by_row, dealt
 from .functions.tables import register_tables
 from .operators.corpus import DRAWN
 from .options import Options
@@ -90,7 +90,7 @@ def shipped_dictionary(spark, sf):
 @query(f"""with {PIX} select vec_id, 8 as height, 8 as width, array_to_string(list_transform(range(0, 192), lambda i: v[i // 3 + 1]), ',') as flat from px""")
 def picture_files(spark, sf):
     """Squares encoded as PNG, written by the sink and decoded by the source; all pixels."""
-    squares = by_row(_pixels(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(_square(v, 8, 8)),))
+    squares = by_row(dealt(_pixels(spark, sf)).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(_square(v, 8, 8)),))
     folder = scratch(spark, "squares")
     write_pictures(squares, folder)
     found = read_pictures(spark, folder, recursive=True, partitionBytes=1 << 20)
@@ -116,7 +116,7 @@ def flat_jpeg(levels: list[int]) -> bytes:
 @query(f"""with {PIX} select vec_id, 8 as height, 512 as width, array_to_string(v, ',') as levels, cast(list_sum(v) * 192 as bigint) as light from px""")
 def jpeg_bytes(spark, sf):
     """JPEG in a bytes column, one block for each value; the blocks' levels and the sum over all pixels and channels."""
-    files = by_row(_pixels(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (flat_jpeg([int(x) for x in v]),))
+    files = by_row(dealt(_pixels(spark, sf)).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (flat_jpeg([int(x) for x in v]),))
 
     def seen(x):
         a = images.array_of(x)
@@ -132,7 +132,7 @@ with {PIX} select vec_id, array_to_string(list_transform(range(0, 192), lambda i
 def blended_boxes(spark, sf):
     """A page blended by half with one filled box: all pixels of the overlay's left side."""
     gray = lambda v: np.dstack([_square(v, 8, 8)] * 3)
-    pages = by_row(_pixels(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(gray(v)),))
+    pages = by_row(dealt(_pixels(spark, sf)).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(gray(v)),))
     box = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((1, 2), (6, 2), (6, 5), (1, 5))))
     lines = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), F.lit(0).alias("box_idx"), box.alias("box"), F.lit("text").alias("txt"), F.lit(0.9).alias("rec_score"))
     seen = overlays(images.decode(pages), lines, "beside")
@@ -145,7 +145,7 @@ with {PIX}, b as (select * from (values (0, 0, 0, 4, 3), (1, 2, 1, 7, 6), (2, 3,
 select vec_id, box_idx, case when x1 > x0 then array_to_string(list_transform(range(0, (x1 - x0) * (y1 - y0)), lambda i: v[(y0 + i // (x1 - x0)) * 8 + x0 + i % (x1 - x0) + 1]), ',') else 'a box without area' end as flat from px, b""")
 def page_crops(spark, sf):
     """Crops of three boxes of every page, at the page's own scale; one box has no area."""
-    pages = by_row(_pixels(spark, sf).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(_square(v, 8, 8)),))
+    pages = by_row(dealt(_pixels(spark, sf)).select(F.col("vec_id").cast("string").alias("image_id"), "v"), "image_id string, content binary", lambda v: (pixels.encode_png(_square(v, 8, 8)),))
     box = lambda x0, y0, x1, y1: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
     boxes = F.posexplode(F.array(box(0, 0, 4, 3), box(2, 1, 7, 6), box(3, 3, 3, 7))).alias("box_idx", "box")
     crops = line_crops(images.decode(pages), table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), boxes))
