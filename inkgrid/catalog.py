@@ -316,7 +316,8 @@ def blank_text_filter(spark, sf):
 with {BOXES} select img, case when bool_or(pk % 97 = 0) then 'without txt' end as warning, case when not bool_or(pk % 97 = 0) then '[' || string_agg('{{"box":[[' || x0 || ',' || y0 || '],[' || (x0 + w) || ',' || y0 || '],[' || (x0 + w) || ',' || (y0 + h) || '],[' || x0 || ',' || (y0 + h) || ']],"txt":"t' || pk || '","score":' || score || '}}', ',' order by {ORDER}) || ']' end as json from boxes group by img""")
 def ocr_to_json(spark, sf):
     """Some lines have no text: their images have no JSON but a warning."""
-    df = boxes(spark, sf).withColumns({"box": G.rectangle("x0", "y0", "w", "h"), "txt": F.when(F.col("pk") % 97 != 0, F.concat(F.lit("t"), F.col("pk").cast("string"))), "i": F.struct(*TIES)})
+    # pages are brought together before their boxes are made, which are several times as large
+    df = boxes(spark, sf).repartition("img").withColumns({"box": G.rectangle("x0", "y0", "w", "h"), "txt": F.when(F.col("pk") % 97 != 0, F.concat(F.lit("t"), F.col("pk").cast("string"))), "i": F.struct(*TIES)})
     return layout.to_json(df, "img", "i", "box", "txt", "score")
 
 
