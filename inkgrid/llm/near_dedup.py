@@ -6,9 +6,9 @@ every chain of l consecutive segments differs in at most l*tau/m bits. With two
 are equal: candidates meet in blocks that agree on two segments, chains from one of these prune them, and the full
 distance decides.
 
-For near copies by shingle overlap (``similar_documents``) 64 bits would need a tolerance at which a single segment
-selects nothing, so documents meet there by minima of their shingle hashes: first by single minima, then, among
-documents that are not joined yet, by bands of three. In a block, one document after another is held against those
+For near copies by shingle overlap (``similar_documents``) documents meet first where their fingerprints are linked. To
+reach all pairs of that overlap 64 bits would need a tolerance at which a single segment selects nothing, so those that
+are not joined yet meet by minima of their shingle hashes: by single minima, then by bands of three. In a block, one document after another is held against those
 not joined with it yet: parities of shingle counts prune by a bound that no pair within
 reach can break, and the exact Jaccard similarity of the shingle sets decides.
 
@@ -281,7 +281,7 @@ def _text_hash() -> Column:
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    """row (a number of its own), id, t (hash of the text), n (different shingles), single and bands (keys of the minima)."""
+    """row (a number of its own), id, t (hash of the text), n (different shingles), fp (the fingerprint), single and bands (keys of the minima)."""
 
     def run(it):
         from pyspark import TaskContext
@@ -289,9 +289,11 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
         use_only(None)
         row = TaskContext.get().partitionId() << 36
         for batch in batches(it):
-            sizes, single, bands = [], [], []
+            sizes, fps, single, bands = [], [], [], []
             for text in as_bytes(batch.column("text")):
-                h = _distinct(text, k)
+                parts = list(shingle_parts(text, k))
+                fps.append(majority(parts))
+                h = np.unique(np.concatenate(parts))
                 sizes.append(len(np.unique(h.astype(np.uint32))))
                 # texts without words meet by a key of their own
                 least = _minima(h) if len(h) else np.zeros(len(_MINIMA), np.uint64)
@@ -302,13 +304,13 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + wide[:, i]
                 bands.append((mixed + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
             ends = np.arange(len(sizes) + 1, dtype=np.int32)
-            cols = [pa.array(np.arange(row, row + len(sizes))), batch.column("doc_id").cast(pa.int64()), batch.column("t"), pa.array(sizes, pa.int32())]
+            cols = [pa.array(np.arange(row, row + len(sizes))), batch.column("doc_id").cast(pa.int64()), batch.column("t"), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64))]
             cols += [pa.ListArray.from_arrays(pa.array(ends * x), pa.array(np.concatenate(keys))) for x, keys in ((SINGLES, single), (BANDS, bands))]
             row += len(sizes)
-            yield pa.record_batch(cols, ["row", "id", "t", "n", "single", "bands"])
+            yield pa.record_batch(cols, ["row", "id", "t", "n", "fp", "single", "bands"])
 
     docs = docs.where("doc_id is not null").select("doc_id", "text", _text_hash().alias("t"))
-    return docs.mapInArrow(run, "row long, id long, t long, n int, single array<long>, bands array<long>")
+    return docs.mapInArrow(run, "row long, id long, t long, n int, fp long, single array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -394,28 +396,36 @@ def _key_links(docs: DataFrame, store: Store, keyed: DataFrame, k: int, similari
     return blocks(tiled(rows, ["key"], F.col("id"), cap), ["key"], link)
 
 
-def similar_links(docs: DataFrame, sketch: DataFrame, store: Store, k: int = 5, similarity: float = 0.8, cap: int = 1500) -> DataFrame:
+def fingerprint_keys(sketch: DataFrame, store: Store, tau: int = 4) -> DataFrame:
+    """Rows of ``sketch`` that are linked with another at ``tau`` differing bits of their fingerprints, with a key for each such group."""
+    one = store.put(sketch.groupBy("fp").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("c")), "fingerprints")
+    groups = one.join(components(fingerprint_links(one.select("id", "fp"), tau), store, "cc0"), "id", "left").where("c > 1 or component is not null")
+    return sketch.join(groups.select("fp", F.coalesce("component", "id").alias("key")), "fp")
+
+
+def similar_links(docs: DataFrame, sketch: DataFrame, store: Store, k: int = 5, similarity: float = 0.8, cap: int = 1500, tau: int = 4) -> DataFrame:
     """Links (a, b) that join rows of ``sketch`` whose sets of k-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Two such rows share none of the bands of minima with probability (1 - similarity^WIDE)^BANDS at most (3.3e-8 at
+    Rows meet first where their SimHash fingerprints are linked at ``tau`` bits (``fingerprint_links``), then by minima
+    where these left them apart; the similarity decides each time. Two such rows share none of the bands of minima with probability (1 - similarity^WIDE)^BANDS at most (3.3e-8 at
     0.8). Rows joined by single minima before need not meet again in a band.
     """
-    keyed = lambda c: sketch.select(F.col("row").alias("id"), F.col("id").alias("doc"), "t", "n", F.explode(F.array_distinct(c)).alias("key"))
-    one = keyed("single")
-    shared = one.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    first = store.put(_key_links(docs, store, one.join(shared, "key", "left_semi"), k, similarity, cap, "single"), "links1")
-    named = components(first, store, "cc1").withColumnRenamed("id", "_i")
-    wide = keyed("bands").join(named, F.col("id") == F.col("_i"), "left").withColumn("component", F.coalesce("component", "id")).drop("_i")
-    wide = store.put(wide, "bands")
-    apart = wide.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    second = _key_links(docs, store, wide.join(apart, "key", "left_semi").drop("component"), k, similarity, cap, "apart")
-    return first.unionByName(second)
-
-
-def similar_documents(docs: DataFrame, store: Store, k: int = 5, similarity: float = 0.8, cap: int = 1500) -> DataFrame:
+    row = [F.col("row").alias("id"), F.col("id").alias("doc"), "t", "n"]
+    found = store.put(_key_links(docs, store, fingerprint_keys(sketch, store, tau).select(*row, "key"), k, similarity, cap, "alike"), "links0")
+    for i, (keys, name) in enumerate((("single", "singles"), ("bands", "bands")), 1):
+        named = components(found, store, f"cc{i}").withColumnRenamed("id", "_i")
+        keyed = sketch.select(*row, F.col(keys).alias("_k")).join(named, F.col("id") == F.col("_i"), "left")
+        keyed = store.put(keyed.select("id", "doc", "t", "n", F.coalesce("component", "id").alias("component"), F.explode(F.array_distinct("_k")).alias("key")), name)
+        apart = keyed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+        more = _key_links(docs, store, keyed.join(apart, "key", "left_semi").drop("component"), k, similarity, cap, f"apart{i}")
+        found = store.put(found.unionByName(more), f"links{i}")
+    return found
+
+
+def similar_documents(docs: DataFrame, store: Store, k: int = 5, similarity: float = 0.8, cap: int = 1500, tau: int = 4) -> DataFrame:
     """``docs`` with all its columns, without rows that are near copies of one with a smaller doc_id (directly or by links)."""
     sketch = store.put(_sketches(docs, k), "sketch")
-    comp = components(similar_links(docs, sketch, store, k, similarity, cap), store)
+    comp = components(similar_links(docs, sketch, store, k, similarity, cap, tau), store)
     named = store.put(comp.join(sketch.select(F.col("row").alias("id"), F.col("id").alias("doc"), "t"), "id").select("component", "doc", "t"), "named")
     least = store.put(named.groupBy("component").agg(F.min("doc").alias("least")), "least")
     gone = named.join(least, "component").where("doc > least").select(F.col("doc").alias("_gone"), F.col("t").alias("_text")).distinct()
