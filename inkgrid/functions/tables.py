@@ -9,24 +9,34 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from ..operators.detection import borders, boxes_of_map
 
 
+WORD_NAMES = ["image_id", "box_idx", "word_idx", "txt", "conf", "box"]
+WORD_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))]
+
+
 class ExplodeWords:
     """Rows image_id, box_idx, words (in the order of the lines) -> every word with a text and a box, numbered over the whole page."""
 
     def __init__(self):
         self.n = 0
 
-    def eval(self, row: Row) -> Iterator[tuple]:
-        for word in row["words"] or []:
-            if word is None or word["txt"] is None or not word["box"]:
-                continue
-            yield row["image_id"], row["box_idx"], self.n, word["txt"], word["conf"], word["box"]
-            self.n += 1
+    def eval(self, page: pa.RecordBatch) -> Iterator[pa.Table]:
+        """All lines of a page, or of a part of one, at once."""
+        lines = page.column("words")
+        words, line = lines.flatten(), pc.list_parent_indices(lines)
+        txt, conf, box = (pc.struct_field(words, [c]) for c in ("txt", "conf", "box"))
+        some = pc.and_(pc.is_valid(txt), pc.fill_null(pc.greater(pc.list_value_length(box), 0), False))
+        line, number = line.filter(some), pa.array(np.arange(len(some)), pa.int32())
+        number = pc.add(number.slice(0, len(line)), pa.scalar(self.n, pa.int32()))
+        self.n += len(line)
+        yield pa.table([x.cast(t) for x, t in zip((page.column("image_id").take(line), page.column("box_idx").take(line), number, *(x.filter(some) for x in (txt, conf, box))), WORD_TYPES)], WORD_NAMES)
 
 
 class _Map:
@@ -75,4 +85,4 @@ TABLES = {
 def register_tables(spark: SparkSession) -> None:
     """explode_words(TABLE lines), boxes_of_map(TABLE rows, height, width) and regions_of_map(TABLE rows, threshold, limit)."""
     for name, (kind, schema) in TABLES.items():
-        spark.udtf.register(name, udtf(kind, returnType=schema))
+        spark.udtf.register(name, (arrow_udtf if kind is ExplodeWords else udtf)(kind, returnType=schema))
