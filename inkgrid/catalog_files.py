@@ -50,7 +50,7 @@ def fetched_assets(spark, sf):
     listed = read_pictures(spark, _texts_as_files(spark, sf), recursive=True, decode=False)
     number = _number("image_id")
     sums = F.when(number % 3 == 0, F.lit("0" * 64)).when(number % 3 == 1, F.sha2("content", 256))
-    plan = listed.select(F.col("image_id").alias("url"), sums.alias("sha256"))
+    plan = listed.select(F.col("image_id").alias("url"), sums.alias("sha256")).persist()  # both calls read it twice
 
     def opener(url):
         store, path = store_of(url)

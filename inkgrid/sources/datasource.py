@@ -36,8 +36,8 @@ from . import pixels
 from .images import array_of, image_row
 from .stores import prefix_of, store_of
 
-#: Bytes of files in a partition, and of pixels in a batch.
-PARTITION_BYTES, BATCH_BYTES = 128 << 20, 32 << 20
+#: Bytes of files in a partition, and of pixels in a batch; files in a partition, which take time to open however small they are.
+PARTITION_BYTES, BATCH_BYTES, PARTITION_FILES = 128 << 20, 32 << 20, 1000
 FILES = "image_id string, content binary, error string"
 _STRUCT = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
 
@@ -81,11 +81,11 @@ class Files(InputPartition):
     paths: list[str]
 
 
-def planned(found: list[tuple[str, int]], limit: int) -> list[list[str]]:
-    """Paths in order, as many together as ``limit`` bytes hold, one at least; an empty file counts as a byte."""
+def planned(found: list[tuple[str, int]], limit: int, most: int = PARTITION_FILES) -> list[list[str]]:
+    """Paths in order, as many together as ``limit`` bytes hold, one at least and ``most`` at most; an empty file counts as a byte."""
     out, size = [], limit + 1
     for path, n in sorted(found):
-        if size + max(n, 1) > limit:
+        if size + max(n, 1) > limit or len(out[-1]) >= most:
             out.append([])
             size = 0
         out[-1].append(path)
@@ -107,8 +107,8 @@ class PictureReader(DataSourceReader):
         if top.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [top] if top.is_file else store.get_file_info(fs.FileSelector(root, recursive=self.recursive))
-        hidden = lambda path: any(part[:1] in "._" for part in path[len(root) :].split("/") if part)
-        wanted = [(x.path, x.size) for x in found if x.is_file and (x is top or not hidden(x.path)) and fnmatchcase(x.base_name, self.pattern)]
+        hidden = re.compile(r"/[._]|^[._]").search
+        wanted = [(x.path, x.size) for x in found if x.is_file and (x is top or not hidden(x.path[len(root) :])) and (self.pattern == "*" or fnmatchcase(x.base_name, self.pattern))]
         return [Files(paths) for paths in planned(wanted, self.limit)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
