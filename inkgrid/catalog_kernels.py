@@ -206,9 +206,9 @@ text_ as (select img, k, case when k > 1 and y.t - before.b > greatest(before.b
     (s[j].x.l - s[j - 1].x.r) / greatest(1e0, least(s[j - 1].x.r - s[j - 1].x.l, s[j].x.r - s[j].x.l) * 0.5e0), 0))) end as bigint)) end || s[j].x.txt), '') as t from line_)
 select img, string_agg(t, chr(10) order by k) as markdown from text_ group by img""")
 def ocr_to_markdown(spark, sf):
-    """Items fold into lines one by one; the SQL does so by recursion."""
-    df = boxes(spark, sf).withColumns({"box": G.rectangle("x0", "y0", "w", "h"), "txt": F.concat(F.lit("t"), F.col("pk").cast("string"))})
-    return layout.to_markdown(df, "img", "box_idx")
+    """Items fold into lines one by one; the SQL does so by recursion. box_idx is no key of an image, so items that the SQL takes for equal follow each other by pk and sk."""
+    df = boxes(spark, sf).withColumns({"box": G.rectangle("x0", "y0", "w", "h"), "txt": F.concat(F.lit("t"), F.col("pk").cast("string")), "at": F.struct("box_idx", "pk", "sk")})
+    return layout.to_markdown(df, "img", "at")
 
 
 # -- results -------------------------------------------------------------------------------------
